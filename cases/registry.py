@@ -21,6 +21,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
 
+    def spread(self, name: str) -> DataFrame:
+        """The table over all cores, for jobs with heavy work per row."""
+        return view(self.spark, self.sf_dir, name, spread=True)
+
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 

@@ -209,13 +209,13 @@ def tables_of(sql: str) -> list[str]:
 _SPREAD = {"candidates": ("orders",), "notices": ("documents",), "pages_in": ("pages",)}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     sql = VIEWS[name]
     text = _TABLES.sub(lambda m: f"bind_{m.group(1)}", sql)
     for table in tables_of(sql):
         df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
         cores = spark.sparkContext.defaultParallelism
-        if table in _SPREAD.get(name, ()) and len(df.inputFiles()) < cores:
+        if (table in _SPREAD.get(name, ()) or (spread and table == "orders")) and len(df.inputFiles()) < cores:
             df = df.repartition(cores)
         df.createOrReplaceTempView(f"bind_{table}")
     df = spark.sql(text)

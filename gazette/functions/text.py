@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -104,7 +105,7 @@ def fold(c: Column | str) -> Column:
     marked, source, target, other = _folding()
 
     def decompose(s: Column) -> Column:
-        table = F.create_map(*[F.lit(x) for kv in sorted(other.items()) for x in kv])
+        table = F.from_json(F.lit(json.dumps(other)), "map<string,string>")  # folded to one literal
         spelled = F.when(
             s.rlike(_char_class("".join(other))),
             F.array_join(
