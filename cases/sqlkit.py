@@ -47,7 +47,7 @@ def canon(x: str, base: str | None = None) -> str:
             f"list_filter(string_split({raw}, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(utm_|fbclid(=|$)|gclid(=|$)|mc_)'))"
         )
         sorted_pairs = f"list_sort(list_transform({pairs}, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END))"
-        return f"CASE WHEN len({sorted_pairs}) > 0 THEN '?' || array_to_string({sorted_pairs}, '&') ELSE '' END"
+        return f"CASE WHEN len({sorted_pairs}) > 0 THEN '?' || replace(array_to_string({sorted_pairs}, '&'), ';', '%3B') ELSE '' END"
 
     def path(u: str) -> str:
         raw = f"regexp_extract({u}, '(?i)^https?://[^/?#]*([^?#]*)', 1)"

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, functions as F
 
 from gazette import vocabulary as V
-from gazette.functions.text import blank_to_null, clean, col, let
+from gazette.functions.text import clean, col, let
 
 _CLOCK = r"(?:(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d|24:00:00)(?:\.\d{1,3})?(?:Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)?"
 _ISO = r"^(20\d{2})-(\d{1,2})-(\d{1,2})(?:T" + _CLOCK + r")?$"
@@ -93,9 +93,3 @@ def is_past(deadline: Column | str, now: Column) -> Column:
 def days_between(later: Column, earlier: Column) -> Column:
     """Exact distance in days as a double."""
     return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(86_400_000_000.0)
-
-
-__all__ = [
-    "blank_to_null", "day", "days_between", "exact_correction_date", "is_past", "parse_date", "parsed_day",
-    "title_dates", "ts",
-]
