@@ -272,7 +272,7 @@ def _(t: Tables):
 
 
 # Events address the subscriptions: half the tokens of verify/unsubscribe are right.
-_EVENTS = """SELECT event_id AS seq, ts AS at, user_id AS id, CASE event_type WHEN 'signup' THEN 'subscribe' WHEN 'click' THEN 'verify' WHEN 'purchase' THEN 'unsubscribe' WHEN 'error' THEN 'set_active' END AS kind,
+_EVENTS = """SELECT event_id AS seq, ts AS happened, user_id AS id, CASE event_type WHEN 'signup' THEN 'subscribe' WHEN 'click' THEN 'verify' WHEN 'purchase' THEN 'unsubscribe' WHEN 'error' THEN 'set_active' END AS kind,
   ' USER' || CAST(user_id AS STRING) || '@example.org' AS email, CASE WHEN event_id % 2 = 0 THEN 'tok' || CAST(user_id AS STRING) ELSE 'wrong' END AS token, 'tok' || CAST(user_id AS STRING) AS issued, event_id % 3 = 0 AS active, 'q' || CAST(event_id AS STRING) AS qualification
   FROM {0} WHERE event_type <> 'view'"""
 
@@ -280,16 +280,16 @@ _EVENTS = """SELECT event_id AS seq, ts AS at, user_id AS id, CASE event_type WH
 @query(
     "apply_subscription_events",
     f"""WITH e AS MATERIALIZED (SELECT *, lower(trim(email)) AS mail FROM ({_EVENTS.format('events')})), s AS MATERIALIZED (SELECT *, lower(trim(email)) AS mail, 'tok' || CAST(id AS VARCHAR) AS tok FROM preferences),
-    a AS MATERIALIZED (SELECT e.seq, e.at, e.kind, CASE WHEN e.kind = 'set_active' THEN s.mail ELSE e.mail END AS mail, e.token, e.active, e.qualification FROM e LEFT JOIN s ON e.kind = 'set_active' AND s.id = e.id),
-    sub AS MATERIALIZED (SELECT mail, max(seq) AS sub_seq, arg_max(qualification, seq) AS qualification, min(at) AS first_at FROM a WHERE kind = 'subscribe' GROUP BY mail),
+    a AS MATERIALIZED (SELECT e.seq, e.happened, e.kind, CASE WHEN e.kind = 'set_active' THEN s.mail ELSE e.mail END AS mail, e.token, e.active, e.qualification FROM e LEFT JOIN s ON e.kind = 'set_active' AND s.id = e.id),
+    sub AS MATERIALIZED (SELECT mail, max(seq) AS sub_seq, arg_max(qualification, seq) AS qualification, min(happened) AS first_at FROM a WHERE kind = 'subscribe' GROUP BY mail),
     b AS MATERIALIZED (SELECT coalesce(s.mail, sub.mail) AS mail, s.id, CASE WHEN sub.mail IS NOT NULL THEN sub.qualification ELSE s.qualification END AS qualification, sub.mail IS NOT NULL AS resub, coalesce(sub_seq, -1) AS sub_seq, s.active, s.verified_at, coalesce(s.created_at, first_at) AS created_at FROM s FULL JOIN sub ON s.mail = sub.mail),
-    x AS MATERIALIZED (SELECT b.mail, arg_min(at, seq) FILTER (kind = 'verify' AND token <> 'wrong') AS verified, arg_max(kind = 'set_active' AND a.active, seq) FILTER (kind = 'set_active' OR (kind = 'unsubscribe' AND token <> 'wrong')) AS flag FROM b JOIN a ON a.mail = b.mail AND a.seq > b.sub_seq GROUP BY b.mail)
+    x AS MATERIALIZED (SELECT b.mail, arg_min(happened, seq) FILTER (kind = 'verify' AND token <> 'wrong') AS verified, arg_max(kind = 'set_active' AND a.active, seq) FILTER (kind = 'set_active' OR (kind = 'unsubscribe' AND token <> 'wrong')) AS flag FROM b JOIN a ON a.mail = b.mail AND a.seq > b.sub_seq GROUP BY b.mail)
     SELECT b.id, b.mail AS email_normalized, b.qualification, coalesce(x.flag, CASE WHEN resub THEN true ELSE b.active END) AS active, coalesce(CASE WHEN NOT resub THEN b.verified_at END, x.verified) AS verified_at, b.created_at FROM b LEFT JOIN x ON b.mail = x.mail""",
     A,
 )
 def _(t: Tables):
     t.raw("events").createOrReplaceTempView("bind_sub_events")
-    events = t.spark.sql(_EVENTS.format("bind_sub_events")).withColumns(
+    events = t.spark.sql(_EVENTS.format("bind_sub_events")).withColumnRenamed("happened", "at").withColumns(
         {
             "keywords": F.array(F.lit("k")), "categories": F.array(F.lit("c")), "locations": F.array(F.lit("l")),
             "verification_token": F.col("issued"), "unsubscribe_token": F.col("issued"),
@@ -413,7 +413,8 @@ def _upsert_sql() -> str:
         return f"max_by(struct_pack(v := {e}), pos) FILTER ({given})"
 
     fields = ["title", "qualification", "salary", "location", "source_job_id"]
-    folded = ", ".join(f"{last(f, f'{f} <> {chr(39)}{chr(39)}')} AS u_{f}" for f in fields)
+    value = {f: f for f in fields} | {"source_job_id": k.clean("source_job_id")}
+    folded = ", ".join(f"{last(value[f], f'{f} <> {chr(39)}{chr(39)}')} AS u_{f}" for f in fields)
     return f"""WITH {PLAN_CTES}, f AS MATERIALIZED (SELECT listing_id, {folded}, {last('dl', "last_date <> ''")} AS u_dl, {last('a', "apply_link <> ''")} AS u_a, max(pos) AS p,
       max_by(source_id, pos) AS from_id, bool_or(coalesce(dl > {_NOW}, false)) AS revive, max_by(score, pos) AS score FROM ({upd}) GROUP BY listing_id),
     touched AS (SELECT DISTINCT listing_id FROM final WHERE action IN ('WOULD_UPDATE', 'DUPLICATE'))

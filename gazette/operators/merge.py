@@ -17,6 +17,12 @@ FIRST_FIELDS = [
 ]
 
 
+def with_candidate_columns(df: DataFrame) -> DataFrame:
+    """Add the candidate facts an extractor did not produce as nulls."""
+    missing = {c: F.lit(None).cast("string") for c in FIRST_FIELDS if c not in df.columns}
+    return df.withColumns(missing) if missing else df
+
+
 def title_score(title: Column) -> Column:
     points = lambda condition, n: F.when(condition, n).otherwise(0)
     size = F.length(title)

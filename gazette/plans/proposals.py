@@ -128,7 +128,9 @@ def create_drafts(
     )
     stale = current.where(F.col("snapshot_hash") != F.col("asked_hash"))
     live = written(current.where(F.col("snapshot_hash") == F.col("asked_hash")).drop("asked_hash"), "draft-requests")
-    patch = live.where(F.size("corrections") > 0).select("candidate_key", "snapshot_hash", "corrections").distinct()
+    patch = live.where(F.size("corrections") > 0).select(
+        "candidate_key", "snapshot_hash", "corrections"
+    ).dropDuplicates(["candidate_key", "snapshot_hash"])
     corrected = written(review.overlay_corrections(live.drop("corrections"), patch), "draft-corrected")
     judged = scoring.classify_quality(
         scoring.score_confidence(scoring.with_source(corrected, sources), now), now, minimum
