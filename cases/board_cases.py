@@ -253,7 +253,7 @@ LA = ("listings", "preferences")
 
 @query("match_alerts", f"WITH {_MATCHES} SELECT pref_id, listing_id FROM m", LA)
 def _(t: Tables):
-    return alerts.match_alerts(t.listings, preferences(t), NOW)
+    return alerts.match_alerts(t.spread("listings"), preferences(t), NOW)
 
 
 @query(
@@ -263,7 +263,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     prefs = preferences(t)
-    return alerts.alert_digest(alerts.match_alerts(t.listings, prefs, NOW), prefs)
+    return alerts.alert_digest(alerts.match_alerts(t.spread("listings"), prefs, NOW), prefs)
 
 
 @query("newest_subscriptions", "SELECT id, active, created_at FROM preferences ORDER BY created_at DESC, id DESC LIMIT 500", A)
