@@ -35,7 +35,7 @@ CANDIDATE = (
 LISTING = (
     "id bigint, title string, department string, qualification string, vacancy string, salary string, age_limit string, "
     "location string, application_fee string, selection_process string, description string, how_to_apply string, "
-    "application_start_date timestamp_ntz, last_date timestamp_ntz, expires_at timestamp_ntz, posted_date timestamp_ntz, "
+    "important_dates string, application_start_date timestamp_ntz, last_date timestamp_ntz, expires_at timestamp_ntz, posted_date timestamp_ntz, "
     "published_at timestamp_ntz, expired_at timestamp_ntz, apply_link string, notification_link string, official_website string, "
     "category string, status string, featured boolean, source_id bigint, source_name string, source_url string, "
     "source_job_id string, review_status string, source_hash string, automation_run_id bigint, created_at timestamp_ntz, "
