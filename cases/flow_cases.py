@@ -11,7 +11,6 @@ from cases.registry import Tables, query
 from cases.views import NOW
 from gazette import vocabulary as V
 from gazette.operators import merge, normalize, quota
-from gazette.operators.cleaning import clean_notice_fields
 from gazette.plans import proposals
 from gazette.sources import files
 from gazette.streaming import jobs
