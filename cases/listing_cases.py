@@ -142,11 +142,11 @@ def _(t: Tables):
 
 @query(
     "lookup",
-    f"SELECT {_PUBLIC} FROM listings WHERE id = 4 AND {_ACTIVE}",
+    f"SELECT {_PUBLIC} FROM listings WHERE id = 49 AND {_ACTIVE}",
     L,
 )
 def _(t: Tables):
-    return listing.project_public(listing.lookup(t.listings, 4, NOW))
+    return listing.project_public(listing.lookup(t.listings, 49, NOW))
 
 
 @query(

@@ -31,39 +31,49 @@ def notice_id(text: Column | str) -> Column:
     return let(found, lambda x: F.when((x != "") & ~x.isin(V.NOTICE_ID_STOP_WORDS), x))
 
 
-def notice_identity() -> Column:
+def identity_parts() -> dict[str, Column]:
+    """Normalised values the three keys below share; stage them as columns to compute each once."""
+    return {
+        "_job": fold("source_job_id"),
+        "_title": fold("title"),
+        "_apply": canonical_url("apply_link"),
+        "_notice": canonical_url("notification_link"),
+        "_source": canonical_url("source_url"),
+        "_start": parsed_day("application_start_date"),
+        "_end": parsed_day("last_date"),
+    }
+
+
+def notice_identity(parts: dict[str, Column] | None = None) -> Column:
     """Identity of one notice inside a source: id, else notice URL, else title and date."""
+    p = parts or identity_parts()
     return (
-        F.when(present("source_job_id"), F.concat(F.lit("id:"), fold("source_job_id")))
-        .when(
-            present("notification_link"),
-            F.concat(F.lit("notice:"), F.coalesce(canonical_url("notification_link"), F.lit("null"))),
-        )
-        .otherwise(F.concat(F.lit("job:"), fold("title"), F.lit(":"), clean("last_date")))
+        F.when(present("source_job_id"), F.concat(F.lit("id:"), p["_job"]))
+        .when(present("notification_link"), F.concat(F.lit("notice:"), F.coalesce(p["_notice"], F.lit("null"))))
+        .otherwise(F.concat(F.lit("job:"), p["_title"], F.lit(":"), clean("last_date")))
     )
 
 
-def review_key() -> Column:
+def review_key(parts: dict[str, Column] | None = None) -> Column:
     """Stable review identity of a candidate within its source."""
+    p = parts or identity_parts()
     by_title = F.concat(
-        F.lit("detail-title-date:"),
-        F.concat_ws("|", _or_empty(canonical_url("source_url")), fold("title"), _or_empty(parsed_day("last_date"))),
+        F.lit("detail-title-date:"), F.concat_ws("|", _or_empty(p["_source"]), p["_title"], _or_empty(p["_end"]))
     )
-    identity = let(
-        F.struct(fold("source_job_id").alias("id"), canonical_url("notification_link").alias("url")),
-        lambda k: F.when(k["id"] != "", F.concat(F.lit("source-job:"), k["id"]))
-        .when(k["url"].isNotNull(), F.concat(F.lit("notification:"), k["url"]))
-        .otherwise(by_title),
+    identity = (
+        F.when(p["_job"] != "", F.concat(F.lit("source-job:"), p["_job"]))
+        .when(p["_notice"].isNotNull(), F.concat(F.lit("notification:"), p["_notice"]))
+        .otherwise(by_title)
     )
     return sha(F.concat(F.lit("source:"), F.col("source_id").cast("string"), F.lit("|"), identity))
 
 
-def snapshot_hash() -> Column:
+def snapshot_hash(parts: dict[str, Column] | None = None) -> Column:
     """Hash over every fact a reviewer sees; any change asks for a new review."""
+    p = parts or identity_parts()
     values = [
         "content_hash", "title", "department", "qualification", "vacancy", "salary", "age_limit", "location",
-        "application_fee", "selection_process", parsed_day("application_start_date"), parsed_day("last_date"),
-        canonical_url("apply_link"), canonical_url("notification_link"), canonical_url("source_url"),
+        "application_fee", "selection_process", p["_start"], p["_end"], p["_apply"], p["_notice"], p["_source"],
         "source_job_id",
     ]
     trimmed = [F.trim(_or_empty(col(v)), F.lit(_TRIMMED)) for v in values]

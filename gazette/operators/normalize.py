@@ -54,12 +54,18 @@ def title_dates(df: DataFrame, column: str = "title") -> DataFrame:
 
 def notice_identity(df: DataFrame) -> DataFrame:
     """Adds `identity`, `candidate_key` and `snapshot_hash`."""
-    return df.withColumns(
-        {
-            "identity": identity.notice_identity(),
-            "candidate_key": identity.review_key(),
-            "snapshot_hash": identity.snapshot_hash(),
-        }
+    parts = identity.identity_parts()
+    staged = {name: F.col(name) for name in parts}
+    return (
+        df.withColumns(parts)
+        .withColumns(
+            {
+                "identity": identity.notice_identity(staged),
+                "candidate_key": identity.review_key(staged),
+                "snapshot_hash": identity.snapshot_hash(staged),
+            }
+        )
+        .drop(*parts)
     )
 
 
