@@ -16,7 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
         local = spark.sparkContext.master.startswith("local")
         if not local:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = os.environ.setdefault("GAZETTE_LOCAL_CHECKPOINTS", tempfile.mkdtemp(prefix="gazette-"))
+        folder = os.environ.get("GAZETTE_LOCAL_CHECKPOINTS") or tempfile.mkdtemp(prefix="gazette-")
+        os.environ["GAZETTE_LOCAL_CHECKPOINTS"] = folder
     return folder
 
 
