@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gazette.llm import decontaminate, quality, toxicity, url_rules
+from gazette.llm import decontaminate, grammar, packing, prefix_counts, quality, toxicity, url_rules, vectors, warc
+from gazette.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,34 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), keep_text=False)
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its WARC record gives it back."""
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+
+
+@query
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the grammar-compressed id files give it back."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return grammar.read_documents(grammar.write_ids(docs, tokenizer_path("byte_bpe_50k.json")))
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its bytes, tokens, and how much of it fits the limit."""
+    return prefix_counts.measure(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its sequence."""
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and its component."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
