@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gazette.llm import decontaminate, grammar, packing, prefix_counts, quality, toxicity, url_rules, vectors, warc
+from gazette.llm import decontaminate, grammar, near_duplicates, packing, prefix_counts, quality, toxicity, url_rules, vectors, warc
 from gazette.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector with its links and its component."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near-duplicates and whether it stays."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -111,7 +111,8 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[n
 
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of `values` between consecutive positions in `first`."""
-    total = np.concatenate([np.zeros(1, np.result_type(values.dtype, np.int64)), np.cumsum(values)])
+    kind = values.dtype if values.dtype.kind in "uf" else np.int64
+    total = np.concatenate([np.zeros(1, kind), np.cumsum(values, dtype=kind)])
     return total[first[1:]] - total[first[:-1]]
 
 
