@@ -17,12 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gazette.llm.words import append_columns, buffer_of, per_text, row_chunks, split_words
+from gazette.llm.words import append_columns, buffer_of, row_chunks, split_words, without
 from gazette.scale import written
 
 WINDOW = 10
 BLOCK_BYTES = 8_000_000
-RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_runs array<struct<begin:bigint,end:bigint>>"
 _FOUND = "hit_items array<string>"
 
 
@@ -134,12 +133,14 @@ def mark(
     ids), contaminated and hit_runs (half-open ranges of word numbers). Null and
     wordless texts have no words and no hits; items without words have no window;
     a null item id counts as the empty string; equal item rows count once. Other
-    columns pass through; a clash with the added names is an error.
+    columns pass through; those with the names of added ones are replaced.
 
     Items go to the tasks in blocks of `block_bytes`; with more than one block
     the documents are passed once per block, keeping the runs found so far.
     """
-    columns = [c for c in docs.columns if keep_text or c != text]
+    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_runs", "hit_items", "_runs", "_items"]
+    columns = without([c for c in docs.columns if keep_text or c != text], added)
+    docs = docs.select(*columns, *([] if keep_text else [text]))
     state = "hit_runs array<struct<begin:bigint,end:bigint>>, " + _FOUND + ", n_words bigint"
     out = docs
     for number, (n, rows) in enumerate(_blocks(items, item_id, item_text, block_bytes)):

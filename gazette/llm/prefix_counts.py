@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from gazette.llm.tokens import SPACE, Pieces, classes
+from gazette.llm.tokens import SPACE, Pieces
+from gazette.llm.words import without
 
 LIMIT = 512
 #: Token pairs a worker remembers.
@@ -112,7 +113,7 @@ class PrefixCounter(Pieces):
         out = inner + np.repeat(before, sizes)
         # After the first character of a piece that goes on a run of white space, the prefix ends in the whole run.
         chars = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
-        blank = classes()[chars] == SPACE
+        blank = self.kinds[chars] == SPACE
         follows = np.flatnonzero(blank[starts[1:]] & blank[starts[1:] - 1]) + 1
         follows = follows[~np.isin(starts[follows], offsets)]
         for i, a, b in zip(follows.tolist(), starts[follows - 1].tolist(), (starts[follows] + 1).tolist(), strict=True):
@@ -125,8 +126,8 @@ class PrefixCounter(Pieces):
         while True:
             at, special = min(((rest.find(s), s) for s in self.specials if s in rest), default=(-1, ""))
             if at < 0:
-                return np.concatenate([*out, base + self._plain_prefixes([rest]) if rest else np.zeros(0, np.int64)])
-            part = self._plain_prefixes([rest[: at + len(special) - 1]])
+                return np.concatenate([*out, base + self.prefixes([rest])[0] if rest else np.zeros(0, np.int64)])
+            part = self.prefixes([rest[: at + len(special) - 1]])[0]
             end = base + (int(part[at - 1]) if at else 0) + 1
             out += [base + part, np.array([end])]
             base, rest = end, rest[at + len(special) :]
@@ -143,10 +144,7 @@ def counter_of(path: str) -> PrefixCounter:
 
 def _columns(docs: DataFrame, path: str, text: str, fields: list[StructField], make: Callable) -> DataFrame:
     names = docs.columns
-    clash = {f.name.lower() for f in fields} & {c.lower() for c in names if c != text}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    others = [c for c in names if c != text]
+    others = without([c for c in names if c != text], [f.name for f in fields])
 
     def run(batches):
         counter = counter_of(path)
@@ -163,7 +161,8 @@ def _columns(docs: DataFrame, path: str, text: str, fields: list[StructField], m
 def prefix_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Every row with `prefix_tokens`, the token count of each prefix by characters, in place of its text.
 
-    Null and empty texts have none. Other columns pass through.
+    Null and empty texts have none. Other columns pass through; one of the name
+    `prefix_tokens` is replaced.
     """
 
     def make(texts, counts, first):
@@ -176,7 +175,8 @@ def measure(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text")
     """Every row with n_bytes, n_tokens, over_limit and fit_chars (the longest prefix of at most `limit` tokens) in place of its text.
 
     All of them are read off the counts of the prefixes. Null and empty texts
-    have no bytes and no tokens. Other columns pass through.
+    have no bytes and no tokens. Other columns pass through; one with the name of
+    a new column is replaced.
     """
     from pyspark.sql.types import BooleanType, LongType
 

@@ -168,7 +168,8 @@ def score(docs: DataFrame, weights: np.ndarray | None, column: str = "quality",
     """Every row with its quality, from 0 to 1, as a function of the text alone.
 
     Null, empty and wordless texts are scored as empty: by the bias. For an
-    empty table the result is empty. Ids are not read, other columns pass through.
+    empty table the result is empty. Ids are not read; other columns pass through, but one with
+    the name of the score is replaced.
     """
 
     def make(data, offsets):

@@ -4,8 +4,11 @@ The tokenizers library cuts a text into pieces (words with their space, runs
 of signs, ...) and encodes each piece for itself. Here the pieces of a whole
 chunk of texts are found at once from the classes of their characters, equal
 pieces are recognised by hash, and only pieces not met before go to the
-library. Texts holding a special string, and texts whose lower case depends on
-the neighbours (final sigma), go to the library whole.
+library. The class of a character that is unassigned here is asked of the
+library, whose edition of Unicode may be another. Texts holding a special
+string, and for a tokenizer that normalises also those with unassigned
+characters or letters whose lower case depends on the neighbours (final
+sigma), go to the library whole.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from gazette.llm.words import mix, powers
 REMEMBERED = 1_000_000
 #: Characters worked on at once.
 CHUNK_CHARS = 1 << 19
-LETTER, NUMBER, SIGN, SPACE = 1, 2, 3, 4
+LETTER, NUMBER, SIGN, SPACE, UNASSIGNED = 1, 2, 3, 4, 5
 _POINTS = 0x110000
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -45,7 +48,7 @@ def tokenizer_path(name: str) -> str:
 
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """Letter, number, white space or other sign for every code point."""
+    """Letter, number, white space, other sign or nothing yet for every code point."""
     out = np.full(_POINTS, SIGN, np.uint8)
     points = [p for p in range(_POINTS) if not 0xD800 <= p < 0xE000]
     every = "".join(map(chr, points))
@@ -53,6 +56,7 @@ def classes() -> np.ndarray:
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for found in regex.finditer(pattern, every):
             out[points[found.start() : found.end()]] = kind
+    out[[p for p in points.tolist() if unicodedata.category(chr(p)) == "Cn"]] = UNASSIGNED
     return out
 
 
@@ -72,6 +76,7 @@ class Pieces:
         self.edge = np.zeros(self.library.get_vocab_size() + 1, bool)
         for token, number in self.library.get_vocab(with_added_tokens=False).items():
             self.edge[number] = token.startswith("\u0120") if self.joined else token.endswith("</w>")
+        self.kinds = classes().copy()
         self._forget()
 
     def _forget(self) -> None:
@@ -81,22 +86,33 @@ class Pieces:
         self.flat = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
 
+    def _ask(self, char: str) -> int:
+        """The class that the library takes a character for: it joins a piece of its own class."""
+        for probe, kind in (("a", LETTER), ("1", NUMBER), ("!", SIGN)):
+            if len(self.library.pre_tokenizer.pre_tokenize_str(probe + char)) == 1:
+                return kind
+        return SPACE
+
     def _plain(self, text: str) -> str | None:
         """The text as its pieces are cut from it; None if only the library can tell."""
         if "<|" in text and any(s in text for s in self.specials):
             return None
-        if self.joined or not text:
-            return text
         if text.isascii():
-            return text.lower()
-        if "Σ" in text:
+            return text if self.joined else text.lower()
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        unsure = np.unique(chars[self.kinds[chars] == UNASSIGNED]).tolist()
+        if self.joined:
+            for point in unsure:
+                self.kinds[point] = self._ask(chr(point))
+            return text
+        if unsure or "Σ" in text:
             return None
         return unicodedata.normalize("NFC", text).lower()
 
     def cut(self, chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of every piece of the texts that lie one after another in `chars`."""
         n = len(chars)
-        kind = classes()[chars]
+        kind = self.kinds[chars]
         lead = np.zeros(n + 1, bool)
         lead[offsets] = True
         tail = lead[1:]
@@ -113,7 +129,8 @@ class Pieces:
             start |= space & ((before != SPACE) | ((after != SPACE) & (after != 0)))
         else:
             start = ~space & ((kind != before) | (kind == NUMBER))
-        quotes = np.flatnonzero((chars == _QUOTE) & (before != SIGN) & ~(blank_before if self.joined else False))
+        quotes = (chars == _QUOTE) & (before != SIGN)
+        quotes = np.flatnonzero(quotes & ~blank_before if self.joined else quotes)
         closed = np.zeros(0, np.int64)
         if len(quotes):
             text = np.searchsorted(offsets, quotes, side="right") - 1

@@ -102,6 +102,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, column: str = "score", ke
 
     Null and wordless texts score as the bias does. Without both kinds of
     labels (`weights` None) every score is 0. Rows, ids (null and repeated
-    ones too) and other columns pass through.
+    ones too) and other columns pass through; one with the name of the score is
+    replaced.
     """
     return append_columns(docs, "text", scorer(weights), f"{column} double", keep_text)

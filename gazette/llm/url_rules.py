@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gazette.llm.words import buffer_of, row_chunks
+from gazette.llm.words import buffer_of, row_chunks, without
 
 SEPARATOR = "\0"
 _COLUMNS = "host string, path string, rule string, verdict string, matched_glob string"
@@ -129,16 +129,13 @@ def judge(pages: DataFrame, url: str = "url", host_rules: tuple[Rule, ...] = HOS
     equally long ones the first. Where none fits, the longest fitting glob
     decides, the last of equally long ones, and `rule` is null. A null url and
     one without `://` have an empty host and path, which only globs can fit.
-    Rows and other columns pass through.
+    Rows and other columns pass through; one with the name of a new column is replaced.
     """
     host, path = host_and_path(F.col(url))
     rules = [*sorted(host_rules, key=lambda r: -len(r.shown)), *sorted(reversed(globs), key=lambda r: -len(r.glob))]
     automaton = Automaton([r.glob for r in rules])
     shown, verdicts, names = [r.shown for r in rules], [r.verdict for r in rules], [r.glob.replace(SEPARATOR, " ") for r in rules]
-    others = [c for c in pages.columns if c != url]
-    clash = {"host", "path", "rule", "verdict", "matched_glob"} & {c.lower() for c in others}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    others = without([c for c in pages.columns if c != url], ["host", "path", "rule", "verdict", "matched_glob"])
     table = pages.select(*others, host.alias("host"), path.alias("path"), F.encode(F.concat(F.lit("."), host, F.lit(SEPARATOR), path), "UTF-8").alias("_canonical"))
 
     def run(batches):

@@ -116,22 +116,24 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def without(columns: list[str], replaced: list[str]) -> list[str]:
+    """The columns that keep their place beside new ones."""
+    new = {c.lower() for c in replaced}
+    return [c for c in columns if c.lower() not in new]
+
+
 def append_columns(df, text: str, make: Callable, schema: str, keep_text: bool = True):
     """Every row of `df` with the columns of `schema` after its own, without the text unless `keep_text`.
 
     `make(data, offsets)` gets a chunk of texts and returns one sequence per
-    new column. New columns whose names the table has already are an error of
-    the caller: select or rename first.
+    new column. A column of the table that has the name of a new one is replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     extra = StructType.fromDDL(schema)
-    clash = {f.name.lower() for f in extra} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
     names = df.columns
-    handed = [c for c in names if keep_text or c != text]
+    handed = without([c for c in names if keep_text or c != text], extra.names)
 
     def run(batches):
         added = to_arrow_schema(extra)
