@@ -307,8 +307,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     buckets = written(banded.join(kept, "key"), "bucket-texts")
     wanted = buckets.select("node").distinct()
     texts = _once_a_task(docs.select("doc_id", "text"), ["doc_id", "text"], idf, by_id=False).select(F.col("_k1").alias("node"), "text")
-    texts = texts.join(wanted, "node").dropDuplicates(["node"])
-    work = _work(buckets, block).join(texts, "node").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
+    # Sorted joins at every size: texts are dealt out by their key once, whatever fits a broadcast today.
+    texts = texts.join(wanted.hint("merge"), "node").dropDuplicates(["node"])
+    work = texts.join(_work(buckets, block).hint("merge"), "node").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
     links = written(_verify(work.select("key", "left", "right", "block", "node", "text"), idf, threshold), "text-links")
     found = components(links)
     return keyed.select("doc_id", "k1", "k2").join(found.withColumnRenamed("node", "k1"), "k1", "left").select("doc_id", "k1", "k2", F.coalesce("component", "k1").alias("class_key")), idf
@@ -334,6 +335,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` without near-duplicates: of every class the one of smallest id, and all wordless texts.
 
     Ties of one id go by the hash of the text; of rows that repeat both, one stays.
+    Other columns pass through; two of them may not be called _k1 and _k2.
     """
     columns = docs.columns
     found, idf = classes(docs, threshold)
