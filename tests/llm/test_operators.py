@@ -199,7 +199,7 @@ def test_quality_rejects_junk(spark):
     r = np.random.default_rng(9)
     good = [" ".join(words(80, 400 + i)).capitalize() + "." for i in range(200)]
     junk = [" ".join(f"{w}%%%" for w in words(60, 700 + i)) for i in range(12)] + [" ".join(w.upper() + "!!" for w in words(60, 800 + i)) for i in range(12)]
-    junk += [" ".join(["again"] * 60) for _ in range(3)]
+    junk += [" ".join([w] * 60) for w in words(12, 900)]
     rows = [(i, t) for i, t in enumerate(good)] + [(1000 + i, t) for i, t in enumerate(junk)] + EDGES[:7]
     docs = docs_of(spark, [rows[i] for i in r.permutation(len(rows))]).withColumnRenamed("lang", "quality")
     got = quality.score(docs, quality.train(docs)).collect()
