@@ -12,10 +12,11 @@ from gazette.operators import linkage
 CL = ("candidates", "listings")
 
 
-def keys_sql(table: str, row: str, d: str) -> str:
+def keys_sql(table: str, row: str, d: str, stored: bool = False) -> str:
+    hashed = "nullif(source_hash, '')" if stored else k.fingerprint("title", "department", "location", d, "source_job_id")
     return f"""SELECT {row} AS id, 1 AS kind, CAST(source_id AS VARCHAR) || '|' || {k.fold('source_job_id')} AS key FROM {table} WHERE source_id IS NOT NULL AND source_job_id <> ''
       UNION ALL SELECT {row}, 3, {k.canon('apply_link')} FROM {table} UNION ALL SELECT {row}, 4, {k.canon('notification_link')} FROM {table}
-      UNION ALL SELECT {row}, 5, {k.fingerprint('title', 'department', 'location', d, 'source_job_id')} FROM {table}
+      UNION ALL SELECT {row}, 5, {hashed} FROM {table}
       UNION ALL SELECT {row}, 6, {k.composite('title', 'department', 'location', d)} FROM {table}"""
 
 
@@ -27,7 +28,7 @@ _TOKENS = (
 
 def match_ctes(cand: str, listing: str) -> str:
     """CTEs ending in `matches(cand_id, listing_id, kind)`."""
-    return f"""lk AS MATERIALIZED (SELECT kind, key, max(id) AS id FROM ({keys_sql(listing, 'id', k.ts_day('last_date'))}) WHERE key IS NOT NULL GROUP BY ALL),
+    return f"""lk AS MATERIALIZED (SELECT kind, key, max(id) AS id FROM ({keys_sql(listing, 'id', k.ts_day('last_date'), stored=True)}) WHERE key IS NOT NULL GROUP BY ALL),
   ck AS MATERIALIZED (SELECT id AS cand_id, kind, key FROM ({keys_sql(cand, 'cand_id', k.day('last_date'))}) WHERE key IS NOT NULL),
   ct AS MATERIALIZED (SELECT cand_id, source_id, {_TOKENS} AS w FROM {cand} WHERE is_corrigendum),
   lt AS MATERIALIZED (SELECT id, source_id, {_TOKENS} AS w FROM {listing} WHERE source_id IS NOT NULL),
@@ -66,7 +67,7 @@ for _name, _kind in {
 @query(
     "prefilter",
     f"""WITH l AS MATERIALIZED (SELECT *, {k.canon('apply_link')} AS ca, {k.canon('notification_link')} AS cn,
-      {k.fingerprint('title', 'department', 'location', k.ts_day('last_date'), 'source_job_id')} AS fp FROM listings),
+      nullif(source_hash, '') AS fp FROM listings),
     c AS MATERIALIZED (SELECT *, {k.canon('apply_link')} AS ca, {k.canon('notification_link')} AS cn, {k.clean('source_job_id')} AS job,
       {k.fingerprint('title', 'department', 'location', k.day('last_date'), 'source_job_id')} AS fp FROM candidates)
     SELECT id, title FROM l WHERE EXISTS (FROM c WHERE c.job <> '' AND c.source_id = l.source_id AND c.job = l.source_job_id)
@@ -80,7 +81,7 @@ def _(t: Tables):
 
 @query(
     "last_wins_index",
-    f"SELECT kind, key, max(id) AS id FROM ({keys_sql('listings', 'id', k.ts_day('last_date'))}) WHERE key IS NOT NULL GROUP BY ALL",
+    f"SELECT kind, key, max(id) AS id FROM ({keys_sql('listings', 'id', k.ts_day('last_date'), stored=True)}) WHERE key IS NOT NULL GROUP BY ALL",
     ("listings",),
 )
 def _(t: Tables):

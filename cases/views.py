@@ -9,7 +9,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cases import sqlkit as k
+from gazette.functions.dates import day
+from gazette.functions.identity import fingerprint
 
 NOW = "2026-07-01 12:00:00"
 EVENTS_NOW = "2024-01-31 00:00:00"
@@ -167,8 +171,11 @@ SELECT event_id AS id, ts AS created_at, user_id AS source_id, 'Source ' || CAST
   CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'WOULD_ADD' ELSE 'ADDED' END
     WHEN 'purchase' THEN 'UPDATED' WHEN 'click' THEN 'SKIPPED' ELSE 'DUPLICATE' END AS action,
   CASE WHEN event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'HTTP 503' WHEN 1 THEN 'HTTP 403' WHEN 2 THEN 'Request timed out after 30s' WHEN 3 THEN 'socket hang up' ELSE 'bad page' END END AS error,
+  CASE WHEN event_type <> 'error' OR event_id % 2 = 1 THEN 'Notice ' || CAST(event_id AS STRING) END AS candidate_title,
   'reason ' || props AS reason,
-  CASE WHEN event_type = 'click' THEN CASE event_id % 4
+  CASE WHEN event_type = 'click' AND event_id % 64 = 3 THEN '{"kind":"metrics","processed":' || CAST(event_id AS STRING) || ',"skipped":' || CAST(event_id % 97 AS STRING) || ',"expired":' || CAST(event_id % 7 AS STRING)
+    || ',"candidates":' || CAST(event_id % 1000 AS STRING) || ',"rawLinks":12,"recruitmentLinks":' || CAST(event_id % 5 AS STRING) || ',"uniqueNotices":4,"parsedJobs":3,"rejected":2,"lowConfidence":1,"draftsCreated":' || CAST(event_id % 3 AS STRING) || '}'
+  WHEN event_type = 'click' THEN CASE event_id % 4
     WHEN 0 THEN '{"kind":"manual-review-decision","candidateKey":"k' || CAST(event_id % 7 AS STRING) || '","snapshotHash":"s' || CAST(user_id % 3 AS STRING) || '","decision":"' || CASE event_id % 3 WHEN 0 THEN 'REJECTED' WHEN 1 THEN 'NEEDS_CORRECTION' ELSE 'MAYBE' END || '","reason":"r' || CAST(event_id AS STRING) || '"}'
     WHEN 1 THEN '{"kind":"manual-review-correction","candidateKey":"k' || CAST(event_id % 5 AS STRING) || '","snapshotHash":"s' || CAST(user_id % 2 AS STRING) || '","corrections":{"vacancy":" ' || CAST(event_id AS STRING) || ' ","' || CASE event_id % 3 WHEN 0 THEN 'salary' WHEN 1 THEN 'title' ELSE 'location' END || '":"Rs. 5"}}'
     ELSE props END ELSE props END AS details,
@@ -219,11 +226,18 @@ def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> D
             df = df.repartition(cores)
         df.createOrReplaceTempView(f"bind_{table}")
     df = spark.sql(text)
+    if name == "listings":
+        # Every third listing was stored with its fingerprint; hashing differs between the engines' SQL.
+        df = df.withColumn("source_hash", F.when(F.col("id") % 3 == 0, fingerprint(F.col("title"), F.col("department"), F.col("location"), day("last_date"), F.col("source_job_id"))))
     return df.select(*[df[c].cast("timestamp_ntz") if t == "timestamp" else df[c] for c, t in df.dtypes])
 
 
 def view_sql(name: str) -> str:
-    return _TABLES.sub(lambda m: m.group(1), VIEWS[name])
+    sql = _TABLES.sub(lambda m: m.group(1), VIEWS[name])
+    if name == "listings":
+        stored = k.fingerprint("title", "department", "location", k.ts_day("last_date"), "source_job_id")
+        sql = f"SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN {stored} END AS source_hash) FROM ({sql})"
+    return sql
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -38,9 +38,10 @@ def _keys(df: DataFrame, row_id: str, deadline_day: Column, stored: bool) -> Dat
         notice_url.alias("by_notice"),
         composite(F.col("title"), F.col("department"), F.col("location"), deadline_day).alias("by_facts"),
         fold("source_job_id").alias("job"),
-        (blank_to_null("source_hash") if stored and "source_hash" in df.columns else F.lit(None).cast("string")).alias("hash"),
+        (blank_to_null("source_hash") if "source_hash" in df.columns else F.lit(None).cast("string")).alias("hash"),
     )
-    hashed = F.coalesce("hash", F.sha2(F.concat_ws("|", "by_facts", "job"), 256))
+    # Held rows answer to the hash they were stored with, and to none if they have none.
+    hashed = F.col("hash") if stored else F.sha2(F.concat_ws("|", "by_facts", "job"), 256)
     kinds = [(BY_ID, F.col("by_id")), (BY_APPLY, F.col("by_apply")), (BY_NOTICE, F.col("by_notice")),
              (BY_HASH, hashed), (BY_FACTS, F.col("by_facts"))]
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in kinds])
@@ -189,7 +190,7 @@ def prefilter(listings: DataFrame, candidates: DataFrame) -> DataFrame:
                     F.array(
                         F.when(present("source_job_id"), tag("i", same_id)),
                         tag("c", source),
-                        tag("h", F.coalesce(blank_to_null("source_hash"), fingerprint(*_facts("last_date", stored=True)))),
+                        tag("h", blank_to_null("source_hash")),
                         tag("t", F.col("title")),
                     ),
                     F.transform(raw_or_canonical("apply_link"), lambda u: tag("a", u)),
@@ -204,7 +205,7 @@ def prefilter(listings: DataFrame, candidates: DataFrame) -> DataFrame:
                 F.array(
                     F.when(present("source_job_id"), tag("i", same_id)),
                     F.when(F.col("is_corrigendum"), tag("c", source)),
-                    tag("h", fingerprint(*_facts("last_date", stored=False))),
+                    tag("h", fingerprint(F.col("title"), F.col("department"), F.col("location"), parsed_day("last_date"), F.col("source_job_id"))),
                     tag("t", F.trim("title")),
                     tag("a", canonical_url("apply_link")),
                     tag("n", canonical_url("notification_link")),
@@ -216,11 +217,6 @@ def prefilter(listings: DataFrame, candidates: DataFrame) -> DataFrame:
     return listings.join(hits, "id", "left_semi")
 
 
-def _facts(deadline: str, stored: bool) -> list[Column]:
-    when = day(deadline) if stored else parsed_day(deadline)
-    return [F.col("title"), F.col("department"), F.col("location"), when, F.col("source_job_id")]
-
-
 # --- change detection ------------------------------------------------------------------------
 def changed_fields() -> Column:
     """Names of the fields where a candidate value is present and differs from `old.<field>`."""
