@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cases import sqlkit as k
 from cases.registry import Tables, query
 from cases.views import NOW
+from gazette.scale import in_order
 from gazette import vocabulary as V
 from gazette.functions.dates import ts
 from gazette.operators import documents, extract, merge
@@ -101,7 +102,7 @@ def _(t: Tables):
 def _page_records(t: Tables):
     both = merge.ordered_union(extract.extract_jsonld(t.pages_in), extract.anchor_candidates(t.pages_in))
     # Encounter order across the pages of a source.
-    return both.withColumn("pos", F.col("page_id") * F.lit(1 << 33) + F.col("pos"))
+    return in_order(both.withColumnRenamed("pos", "place"), ["page_id", "place"], "pos").drop("place")
 
 
 @query("page_notices")

@@ -92,10 +92,9 @@ def _(t: Tables):
 
 @query(
     "source_content_hash",
-    f"""WITH p AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS n, part FROM (SELECT id AS source_id, -1 AS pos, md5(name) AS part FROM sources
-        UNION ALL SELECT source_id, pos, sha256({k.clean('raw_text')}) FROM candidates)),
-      r AS (SELECT source_id, (n - 1) // 1000 AS run, sha256(string_agg(part, '|' ORDER BY n)) AS part FROM p GROUP BY ALL)
-    SELECT source_id, CASE WHEN count(*) = 1 THEN min(part) ELSE sha256(string_agg(part, '|' ORDER BY run)) END AS content_hash FROM r GROUP BY source_id""",
+    f"""WITH p AS (SELECT source_id, pos AS n, part FROM (SELECT id AS source_id, -1 AS pos, md5(name) AS part FROM sources
+        UNION ALL SELECT source_id, pos, sha256({k.clean('raw_text')}) FROM candidates))
+    SELECT source_id, sha256(string_agg(part, '|' ORDER BY n, part)) AS content_hash FROM p GROUP BY source_id""",
     ("candidates", "sources"),
 )
 def _(t: Tables):

@@ -10,8 +10,9 @@ from gazette.functions.html import strip_html
 from gazette.functions.identity import notice_id
 from gazette.functions.text import blank_to_null, clean, clean_or_null, col, content_hash, has, head, let, rx, tail
 from gazette.functions.urls import canonical_url, host, is_pdf, origin, path_and_query, same_domain
+from gazette.scale import written
 
-BEFORE_CHARS, AFTER_CHARS, RAW_CHARS = 15_000, 4_000, 20_000
+BEFORE_CHARS, AFTER_CHARS = 15_000, 4_000
 
 
 def oversize_filter(pages: DataFrame, max_bytes: int = V.MAX_HTML_BYTES, column: str = "html") -> DataFrame:
@@ -298,7 +299,7 @@ def anchor_candidates(pages: DataFrame) -> DataFrame:
         F.col("url").alias("source_url"),
         content_hash("raw_text").alias("content_hash"),
         has(F.concat_ws(" ", "title", "raw_text"), V.HTML_AMENDMENT).alias("is_corrigendum"),
-        head(F.col("raw_text"), RAW_CHARS).alias("raw_text"),
+        "raw_text",
         F.lit("HTML").alias("extraction_method"),
     )
 
@@ -324,7 +325,8 @@ def open_only(df: DataFrame, domain: str, now: Column) -> DataFrame:
 
 
 # --- structured data ----------------------------------------------------------------------------------
-GRAPH_DEPTH = 4
+# Graphs are followed this deep at once; deeper ones are looked for and followed as well.
+FIRST_DEPTH = 4
 
 
 def _elements(json: Column) -> Column:
@@ -354,27 +356,51 @@ def _salary(o: Column) -> Column:
     return F.when(base.startswith("{"), blank_to_null(parts)).otherwise(clean_or_null(base))
 
 
+def _flattened(json: Column, depth: int) -> Column:
+    """The elements of a document, each followed by those of its graph, `depth` graphs down."""
+    if not depth:
+        return _elements(json)
+
+    def with_graph(element: Column) -> Column:
+        graph = F.get_json_object(element, "$['@graph']")
+        return F.when(graph.isNull(), F.array(element)).otherwise(F.concat(F.array(element), _flattened(graph, depth - 1)))
+
+    return F.flatten(F.transform(_elements(json), with_graph))
+
+
+def _nests(json: Column, depth: int) -> Column:
+    """Whether graphs lie in one another more than `depth` times."""
+
+    def deeper(element: Column) -> Column:
+        graph = F.get_json_object(element, "$['@graph']")
+        return graph.isNotNull() if not depth else graph.isNotNull() & _nests(graph, depth - 1)
+
+    return F.coalesce(F.exists(_elements(json), deeper), F.lit(False))
+
+
+def _graph_depth(pages: DataFrame, scripts: Column) -> int:
+    """How deep graphs have to be followed: no page nests more of them than it names."""
+    named = pages.agg(F.max(F.size(F.split("html", "@graph", -1)) - 1)).first()[0] or 0
+    depth = min(named, FIRST_DEPTH)
+    while depth < named and not pages.where(F.exists(scripts, lambda s: _nests(s, depth))).isEmpty():
+        depth = min(named, 2 * depth)
+    return depth
+
+
 def extract_jsonld(pages: DataFrame) -> DataFrame:
     """Candidate notices from the JobPosting documents embedded in pages.
 
-    Arrays and `@graph` are flattened `GRAPH_DEPTH` levels deep; malformed JSON is ignored.
+    Arrays and `@graph` are flattened to any depth, in document order; malformed JSON is ignored.
     """
     kept = [c for c in ("page_id", "source_id", "url") if c in pages.columns]
     scripts = F.filter(
         F.transform(F.regexp_extract_all("html", F.lit(rx(V.JSON_LD_SCRIPT)), F.lit(1)), lambda s: F.trim(s)),
         lambda s: F.try_parse_json(s).isNotNull(),
     )
-    rows = pages.select(*kept, F.flatten(F.transform(scripts, _elements)).alias("level"))
-    levels, level = [F.col("level0")], "level0"
-    rows = rows.withColumnRenamed("level", "level0")
-    for depth in range(1, GRAPH_DEPTH + 1):
-        graphs = F.filter(
-            F.transform(F.col(level), lambda o: F.get_json_object(o, "$['@graph']")), lambda g: g.isNotNull()
-        )
-        level = f"level{depth}"
-        rows = rows.withColumn(level, F.flatten(F.transform(graphs, _elements)))
-        levels.append(F.col(level))
-    objects = rows.select(*kept, F.posexplode(F.concat(*levels)).alias("pos", "raw"))
+    depth = _graph_depth(pages, scripts)
+    rows = pages.select(*kept, scripts.alias("scripts"))
+    flat = F.flatten(F.transform("scripts", lambda s: _flattened(s, depth)))
+    objects = rows.select(*kept, F.posexplode(flat).alias("pos", "raw"))
     kind = F.get_json_object("raw", "$['@type']")
     posting = F.exists(_elements(kind), lambda t: F.lower(t) == "jobposting")
     objects = objects.where(posting).withColumn("o", F.get_json_object("raw", "$"))
@@ -402,22 +428,23 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
         ).alias("source_job_id"),
         F.col("url").alias("source_url"),
         content_hash(o).alias("content_hash"),
-        head(o, RAW_CHARS).alias("raw_text"),
+        o.alias("raw_text"),
         F.lit(False).alias("is_corrigendum"),
         F.lit("JSON_LD").alias("extraction_method"),
     ).where(F.col("title").isNotNull())
 
 
 # --- notice API -------------------------------------------------------------------------------------------
-API_DEPTH = 6
-
+def api_records(payloads: DataFrame) -> DataFrame:
+    """(payload_id, path, record, title): every object with a title-like key, at any depth.
 
-def api_records(payloads: DataFrame, depth: int = API_DEPTH) -> DataFrame:
-    """(payload_id, path, record, title): every object with a title-like key, `depth` levels down."""
+    The first levels are one plan; whether anything lies deeper is asked after
+    them, and deeper levels are written before they are taken apart.
+    """
     tvf = payloads.sparkSession.tvf
     level = payloads.select("payload_id", "url", F.array().cast("array<int>").alias("path"), F.try_parse_json("payload").alias("v"))
-    found = []
-    for _ in range(depth + 1):
+    found, number = [], 0
+    while True:
         kind = F.schema_of_variant("v")
         titles = [F.try_variant_get("v", f"$.{k}", "string") for k in V.API_TITLE_KEYS]
         title = F.coalesce(*[clean_or_null(t) for t in titles])
@@ -425,6 +452,12 @@ def api_records(payloads: DataFrame, depth: int = API_DEPTH) -> DataFrame:
         found.append(objects.where(F.col("title").isNotNull()))
         nested = level.where(kind.rlike("^(OBJECT|ARRAY)")).lateralJoin(tvf.variant_explode(F.col("v").outer()))
         level = nested.select("payload_id", "url", F.concat("path", F.array("pos")).alias("path"), F.col("value").alias("v"))
+        number += 1
+        if number > FIRST_DEPTH + 2:
+            held = written(level.withColumn("v", F.to_json("v")), "api-level")
+            if held.isEmpty():
+                break
+            level = held.withColumn("v", F.try_parse_json("v"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -509,7 +542,7 @@ def ingest_notice_api(payloads: DataFrame, source_url: str, organisation: str, d
         F.coalesce(notice_id("record"), first(V.API_ID_KEYS)).alias("source_job_id"),
         F.lit(source_url).alias("source_url"),
         api_date(first(V.API_POSTED_KEYS)).alias("posted_date"),
-        head(F.concat_ws(" ", "title", first(V.API_EXAM_KEYS), description, "record"), 80_000).alias("raw_text"),
+        F.concat_ws(" ", "title", first(V.API_EXAM_KEYS), description, "record").alias("raw_text"),
         content_hash("record").alias("content_hash"),
         has(related, V.API_AMENDMENT).alias("is_corrigendum"),
         F.lit("HTML").alias("extraction_method"),

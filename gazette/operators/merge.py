@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gazette import vocabulary as V
 from gazette.functions.identity import notice_identity
 from gazette.functions.text import content_hash, fold, has, let, present
 from gazette.functions.urls import is_pdf
-from gazette.scale import number_rows
 
 FIRST_FIELDS = [
     "department", "qualification", "vacancy", "salary", "age_limit", "location", "application_fee",
@@ -104,33 +108,36 @@ def collection_metrics(links: DataFrame, records: DataFrame, notices: DataFrame)
     )
 
 
-HASH_FAN_OUT = 1_000
-
+def source_content_hash(candidates: DataFrame, page_hashes: DataFrame, order: str = "pos") -> DataFrame:
+    """(source_id, content_hash): SHA-256 of the page hash and all candidate hashes in order, joined by `|`.
 
-def source_content_hash(candidates: DataFrame, page_hashes: DataFrame, levels: int = 3, order: str = "pos") -> DataFrame:
-    """(source_id, content_hash): hash of the page hash and all candidate hashes in order.
-
-    Up to `HASH_FAN_OUT` parts this is the hash of the parts joined by `|`.
-    Longer sources hash runs of that many parts and then the run hashes, so no
-    task ever holds more than one run of a source.
+    The parts of a source are sorted, not collected: a task feeds them to the
+    running hash one by one, so a long source takes time but no memory.
     """
     pages = page_hashes.select("source_id", F.lit(-1).cast("bigint").alias("pos"), F.col("content_hash").alias("part"))
     parts = pages.unionByName(
         candidates.select("source_id", F.col(order).cast("bigint").alias("pos"), F.col("content_hash").alias("part"))
-    )
-    numbered = number_rows(parts, ["source_id"], "pos").select("source_id", "n", "part")
-    for level in range(levels):
-        runs = numbered.groupBy("source_id", F.floor(F.col("n") / HASH_FAN_OUT).alias("run")).agg(
-            F.array_sort(F.collect_list(F.struct("n", "part"))).alias("parts")
-        )
-        single = F.col("parts")[0]["part"]
-        joined = F.sha2(F.array_join(F.transform("parts", lambda p: p["part"]), "|"), 256)
-        numbered = runs.select(
-            "source_id",
-            F.col("run").alias("n"),
-            (joined if level == 0 else F.when((F.col("run") == 0) & (F.size("parts") == 1), single).otherwise(joined)).alias("part"),
-        )
-    return numbered.select("source_id", F.col("part").alias("content_hash"))
+    ).where(F.col("part").isNotNull())
+    ordered = parts.repartition("source_id").sortWithinPartitions("source_id", "pos", "part").select("source_id", "part")
+    return ordered.mapInArrow(_running_hashes, StructType([parts.schema["source_id"], StructField("content_hash", StringType())]))
+
+
+def _running_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    source, running, begun = None, None, False
+    for batch in batches:
+        ids, out = [], []
+        for key, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if begun and key == source:
+                running.update(b"|" + part.encode())
+                continue
+            if begun:
+                ids.append(source)
+                out.append(running.hexdigest())
+            source, running, begun = key, hashlib.sha256(part.encode()), True
+        kind = batch.schema.field(0).type
+        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(out, pa.string())], names=["source_id", "content_hash"])
+    if begun:
+        yield pa.RecordBatch.from_arrays([pa.array([source], kind), pa.array([running.hexdigest()])], names=["source_id", "content_hash"])
 
 
 # --- detail records ------------------------------------------------------------------------------

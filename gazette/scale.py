@@ -5,12 +5,37 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
+_job: ContextVar[str | None] = ContextVar("job_folder", default=None)
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables written inside go to a folder of their own, which is removed when the job ends.
+
+    For jobs that store their result themselves, such as a micro-batch: nothing
+    that was written inside can be read afterwards.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+    token = _job.set(folder)
+    try:
+        yield folder
+    finally:
+        _job.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`; a fresh local one only where unset."""
+    if _job.get():
+        return _job.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         local = spark.sparkContext.master.startswith("local")
@@ -29,21 +54,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "n", block: int = 100_000) -> DataFrame:
-    """Gap-free zero-based `name` per `keys` in `order` (a whole number, unique per key).
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system is there."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "n") -> DataFrame:
+    """Gap-free zero-based `name` per `keys` in `order` (unique per key).
 
-    Rows are counted per block of order values; running block totals give each
-    block its offset, so only the rows of one block are ranked together.
+    Rows are dealt out by ranges and ranked inside them; the running counts of
+    the ranges give each its offset, so a single task sees one row per range.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
-    counts = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows"))
-    # One row per block: small enough to run in order.
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    placed = written(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    rank = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(order))
+    rank = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(order))
     return (
-        blocked.withColumn("_rank", rank)
-        .join(offsets, [*keys, "_block"])
+        placed.withColumn("_rank", rank)
+        .join(offsets, [*keys, "_range"])
         .withColumn(name, F.col("_offset") + F.col("_rank") - 1)
-        .drop("_block", "_rank", "_offset")
+        .drop("_range", "_rank", "_offset")
     )
+
+
+def in_order(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Whole numbers `name` that grow with `keys`: the range of a row and its place in it, with gaps between ranges."""
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return written(placed.withColumn(name, F.monotonically_increasing_id()), "ordered")

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gazette.operators import alerts, extract, linkage, merge, snapshot
 from gazette.plans import proposals
-from gazette.scale import written
+from gazette.scale import exists, in_order, job_folder, written
 
 
 def ingest_pages(pages: DataFrame, listings: DataFrame, sources: DataFrame, decisions: DataFrame, now: datetime | str, run_id: int) -> DataFrame:
@@ -20,7 +20,7 @@ def ingest_pages(pages: DataFrame, listings: DataFrame, sources: DataFrame, deci
     records = merge.with_candidate_columns(
         merge.ordered_union(extract.extract_jsonld(pages), extract.anchor_candidates(pages))
     )
-    ordered = records.withColumn("pos", F.col("page_id") * F.lit(1 << 33) + F.col("pos"))
+    ordered = in_order(records.withColumnRenamed("pos", "place"), ["page_id", "place"], "pos").drop("place")
     notices = extract.drop_result_only(merge.merge_notices(ordered)).withColumn("cand_id", F.col("pos"))
     planned = written(
         proposals.plan_actions(notices.drop("identity", "content_hash", "merged"), listings, sources, decisions, now), "proposals"
@@ -47,7 +47,8 @@ def stream_ingest(
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        store(ingest_pages(written(df, "pages"), load(), sources, decisions, clock(), number), number)
+        with job_folder(df.sparkSession):
+            store(ingest_pages(written(df, "pages"), load(), sources, decisions, clock(), number), number)
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
@@ -60,16 +61,17 @@ def stream_alerts(listings: DataFrame, preferences: Callable[[], DataFrame], sen
     """
 
     def batch(df: DataFrame, number: int) -> None:
+        with job_folder(df.sparkSession):
+            send(df, number)
+
+    def send(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         prefs = preferences().where(F.col("verified_at").isNotNull())
         pairs = alerts.match_alerts(written(df, "new-listings"), prefs)
         schema = "pref_id {}, listing_id {}, batch bigint".format(*[t for _, t in pairs.dtypes])
-        try:
+        if exists(spark, sent_path):
             sent = spark.read.schema(schema).parquet(sent_path).where(F.col("batch") != number)
             pairs = pairs.join(sent, ["pref_id", "listing_id"], "left_anti")
-        except Exception as error:  # nothing was sent yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         pairs.write.mode("overwrite").parquet(f"{sent_path.rstrip('/')}/batch={number}")
 
     return listings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
