@@ -180,13 +180,14 @@ def _runs(t: Tables):
 
 @query(
     "run_summary",
-    """WITH s AS (SELECT run_id, source_id, count(*) AS n, count(*) FILTER (action = 'ERROR') AS e FROM run_items GROUP BY ALL)
-    SELECT r.run_id, (SELECT count(*) FROM s WHERE s.run_id = r.run_id) AS sources_checked, (SELECT count(*) FROM s WHERE s.run_id = r.run_id AND e < n) AS sources_succeeded,
-      (SELECT count(*) FROM s WHERE s.run_id = r.run_id AND e = n) AS sources_failed, count(*) FILTER (action <> 'ERROR') AS processed, count(*) FILTER (action = 'WOULD_ADD') AS would_add, count(*) FILTER (action = 'ADDED') AS added,
-      count(*) FILTER (action = 'UPDATED') AS updated, count(*) FILTER (action = 'DUPLICATE') AS duplicates, count(*) FILTER (action = 'EXPIRED') AS expired, count(*) FILTER (action = 'SKIPPED') AS skipped,
-      count(*) FILTER (action = 'ERROR') AS errors, min(created_at) AS started_at, max(created_at) AS completed_at, 0::BIGINT AS candidates, 0::BIGINT AS raw_links, 0::BIGINT AS recruitment_links, 0::BIGINT AS unique_notices,
-      0::BIGINT AS parsed_jobs, 0::BIGINT AS rejected, 0::BIGINT AS low_confidence, 0::BIGINT AS drafts_created, CASE WHEN count(*) FILTER (action = 'ERROR') > 0 THEN 'PARTIAL' ELSE 'COMPLETED' END AS status
-    FROM run_items r GROUP BY r.run_id""",
+    """WITH s AS (SELECT run_id, source_id, bool_or(action = 'ERROR' AND candidate_title IS NULL) AS e FROM run_items GROUP BY ALL),
+    m AS (SELECT run_id, max(details) AS d FROM run_items WHERE details->>'$.kind' = 'metrics' GROUP BY run_id)
+    SELECT r.run_id, (SELECT count(*) FROM s WHERE s.run_id = r.run_id) AS sources_checked, (SELECT count(*) FROM s WHERE s.run_id = r.run_id AND NOT e) AS sources_succeeded,
+      (SELECT count(*) FROM s WHERE s.run_id = r.run_id AND e) AS sources_failed, coalesce(CAST(any_value(d->>'$.processed') AS BIGINT), count(*) FILTER (action <> 'ERROR')) AS processed, count(*) FILTER (action = 'WOULD_ADD') AS would_add, count(*) FILTER (action = 'ADDED') AS added,
+      count(*) FILTER (action = 'UPDATED') AS updated, count(*) FILTER (action = 'DUPLICATE') AS duplicates, coalesce(CAST(any_value(d->>'$.expired') AS BIGINT), count(*) FILTER (action = 'EXPIRED')) AS expired, coalesce(CAST(any_value(d->>'$.skipped') AS BIGINT), count(*) FILTER (action = 'SKIPPED')) AS skipped,
+      count(*) FILTER (action = 'ERROR') AS errors, min(created_at) AS started_at, max(created_at) AS completed_at, coalesce(CAST(any_value(d->>'$.candidates') AS BIGINT), 0) AS candidates, coalesce(CAST(any_value(d->>'$.rawLinks') AS BIGINT), 0) AS raw_links, coalesce(CAST(any_value(d->>'$.recruitmentLinks') AS BIGINT), 0) AS recruitment_links, coalesce(CAST(any_value(d->>'$.uniqueNotices') AS BIGINT), 0) AS unique_notices,
+      coalesce(CAST(any_value(d->>'$.parsedJobs') AS BIGINT), 0) AS parsed_jobs, coalesce(CAST(any_value(d->>'$.rejected') AS BIGINT), 0) AS rejected, coalesce(CAST(any_value(d->>'$.lowConfidence') AS BIGINT), 0) AS low_confidence, coalesce(CAST(any_value(d->>'$.draftsCreated') AS BIGINT), 0) AS drafts_created, CASE WHEN count(*) FILTER (action = 'ERROR') > 0 THEN 'PARTIAL' ELSE 'COMPLETED' END AS status
+    FROM run_items r LEFT JOIN m ON m.run_id = r.run_id GROUP BY r.run_id""",
     R,
 )
 def _(t: Tables):
@@ -215,8 +216,8 @@ def _(t: Tables):
 
 @query(
     "source_health",
-    """SELECT e.source_id, max(created_at) AS last_checked_at, any_value(ok) AS last_success_at, count(*) FILTER (action = 'ERROR' AND (ok IS NULL OR created_at > ok)) AS consecutive_failures
-    FROM run_items e JOIN (SELECT source_id, max(created_at) FILTER (action <> 'ERROR') AS ok FROM run_items GROUP BY source_id) o ON e.source_id = o.source_id GROUP BY e.source_id""",
+    """SELECT e.source_id, max(created_at) AS last_checked_at, any_value(ok) AS last_success_at, count(*) FILTER (action = 'ERROR' AND candidate_title IS NULL AND (ok IS NULL OR created_at > ok)) AS consecutive_failures
+    FROM run_items e JOIN (SELECT source_id, max(created_at) FILTER (action <> 'ERROR' OR candidate_title IS NOT NULL) AS ok FROM run_items GROUP BY source_id) o ON e.source_id = o.source_id GROUP BY e.source_id""",
     R,
 )
 def _(t: Tables):
@@ -305,9 +306,9 @@ def _(t: Tables):
 _DUE = f"status = 'PUBLISHED' AND (coalesce(last_date < {_NOW}, false) OR coalesce(expires_at < {_NOW}, false))"
 
 
-@query("expire", f"SELECT id, CASE WHEN {_DUE} THEN 'EXPIRED' ELSE status END AS status, CASE WHEN {_DUE} THEN {_NOW} END AS expired_at, featured AND NOT ({_DUE}) AS featured FROM listings", L)
+@query("expire", f"SELECT id, CASE WHEN {_DUE} THEN 'EXPIRED' ELSE status END AS status, CASE WHEN {_DUE} THEN {_NOW} END AS expired_at, featured AND NOT ({_DUE}) AS featured, CASE WHEN {_DUE} THEN {_NOW} ELSE updated_at END AS updated_at FROM listings", L)
 def _(t: Tables):
-    return snapshot.expire(t.listings, NOW).select("id", "status", "expired_at", "featured")
+    return snapshot.expire(t.listings, NOW).select("id", "status", "expired_at", "featured", "updated_at")
 
 
 @query("expiry_items", f"SELECT 'r1' AS run_id, source_id, left(source_name, 200) AS source_name, left(title, 300) AS candidate_title, 'EXPIRED' AS action, id AS job_id, 'Application deadline passed' AS reason FROM listings WHERE {_DUE}", L)
@@ -358,13 +359,13 @@ def _(t: Tables):
     "manual_edit",
     f"""WITH {_VALIDATED}, e AS (SELECT * FROM valid WHERE error IS NULL AND status <> 'ARCHIVED')
     SELECT l.id, coalesce(e.title, l.title) AS title, coalesce(e.status, l.status) AS status, CASE WHEN e.id IS NULL THEN l.last_date ELSE e.last_date END AS last_date, CASE WHEN e.id IS NULL THEN l.expires_at ELSE e.last_date END AS expires_at,
-      CASE WHEN e.status = 'EXPIRED' THEN {_NOW} END AS expired_at, CASE WHEN e.status = 'PUBLISHED' AND l.published_at IS NULL THEN {_NOW} ELSE l.published_at END AS published_at, CASE WHEN e.id IS NULL THEN l.review_status ELSE 'MANUAL_VERIFIED' END AS review_status
+      CASE WHEN e.status = 'EXPIRED' THEN {_NOW} END AS expired_at, CASE WHEN e.status = 'PUBLISHED' AND l.published_at IS NULL THEN {_NOW} ELSE l.published_at END AS published_at, CASE WHEN e.id IS NULL THEN l.review_status ELSE 'MANUAL_VERIFIED' END AS review_status, CASE WHEN e.id IS NULL THEN l.updated_at ELSE {_NOW} END AS updated_at
     FROM listings l LEFT JOIN e ON l.id = e.id""",
     L,
 )
 def _(t: Tables):
     edits = validate.validate_listings(_requests(t), NOW).where("error IS NULL AND status <> 'ARCHIVED'").drop("error")
-    return snapshot.manual_edit(t.listings, edits, NOW).select("id", "title", "status", "last_date", "expires_at", "expired_at", "published_at", "review_status")
+    return snapshot.manual_edit(t.listings, edits, NOW).select("id", "title", "status", "last_date", "expires_at", "expired_at", "published_at", "review_status", "updated_at")
 
 
 # A backup file: every record's id is halved (collisions, later records win), every fifth record is new.
@@ -384,7 +385,7 @@ def _backup(t: Tables):
     L,
 )
 def _(t: Tables):
-    return snapshot.import_backup(t.listings, _backup(t), NOW)[0].select("id", "title", "status", "expires_at", "published_at", "review_status")
+    return snapshot.import_backup(t.listings, _backup(t), NOW)[0].select("id", "title", "status", "expires_at", "published_at", "review_status", "updated_at")
 
 
 @query("import_counts", f"WITH {_VALIDATED} SELECT count(*) FILTER (error IS NULL) AS imported, count(*) FILTER (error IS NOT NULL) AS skipped FROM valid", L)
@@ -439,11 +440,11 @@ def _(t: Tables):
 
 @query(
     "touch_duplicates",
-    f"WITH {PLAN_CTES} SELECT l.id, CASE WHEN l.id IN (SELECT listing_id FROM final WHERE action = 'DUPLICATE') THEN {_NOW} END AS last_seen_at FROM listings l",
+    f"WITH {PLAN_CTES} SELECT l.id, CASE WHEN l.id IN (SELECT listing_id FROM final WHERE action = 'DUPLICATE') THEN {_NOW} END AS last_seen_at, CASE WHEN l.id IN (SELECT listing_id FROM final WHERE action = 'DUPLICATE') THEN {_NOW} ELSE l.updated_at END AS updated_at FROM listings l",
     CLS,
 )
 def _(t: Tables):
-    return snapshot.touch_duplicates(t.spread("listings"), written(plan(t), "proposals"), NOW, 7).select("id", "last_seen_at")
+    return snapshot.touch_duplicates(t.spread("listings"), written(plan(t), "proposals"), NOW, 7).select("id", "last_seen_at", "updated_at")
 
 
 @query(

@@ -174,13 +174,14 @@ def upsert(listings: DataFrame, matched: DataFrame, now: datetime | str, run_id:
 
 
 def touch_duplicates(listings: DataFrame, matched: DataFrame, now: datetime | str, run_id: int) -> DataFrame:
-    """Listings whose proposals changed nothing: only last seen and run move."""
+    """Listings whose proposals changed nothing: last seen and run move, and with them the time of the last update."""
     seen = matched.where(F.col("action") == "DUPLICATE").select(F.col("listing_id").alias("id")).distinct()
     base = with_automation_columns(listings).join(seen.withColumn("_seen", F.lit(True)), "id", "left")
     touched = F.coalesce("_seen", F.lit(False))
     return base.withColumns(
         {
             "last_seen_at": F.when(touched, ts(now)).otherwise(F.col("last_seen_at")),
+            "updated_at": F.when(touched, ts(now)).otherwise(F.col("updated_at")),
             "automation_run_id": F.when(touched, F.lit(run_id).cast("bigint")).otherwise(F.col("automation_run_id")),
         }
     ).drop("_seen")
@@ -199,6 +200,7 @@ def expire(listings: DataFrame, now: datetime | str) -> DataFrame:
             "status": F.when(F.col("_due"), "EXPIRED").otherwise(F.col("status")),
             "expired_at": F.when(F.col("_due"), ts(now)).otherwise(F.col("expired_at")),
             "featured": F.when(F.col("_due"), F.lit(False)).otherwise(F.col("featured")),
+            "updated_at": F.when(F.col("_due"), ts(now)).otherwise(F.col("updated_at")),
         }
     ).drop("_due")
 
@@ -263,6 +265,7 @@ def manual_edit(listings: DataFrame, edits: DataFrame, now: datetime | str) -> D
             F.col("published_at")
         ),
         "review_status": F.when(edited, "MANUAL_VERIFIED").otherwise(F.col("review_status")),
+        "updated_at": F.when(edited, at).otherwise(F.col("updated_at")),
     }
     return joined.withColumns(changes).drop("_edit").select(*listings.columns)
 
