@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from gazette.functions import identity
 from gazette.operators import linkage, merge, quota, snapshot
 from gazette.plans import proposals
 from gazette.sources import files
@@ -19,13 +20,13 @@ NOW = "2026-09-01 00:00:00"
 
 def test_match_priority_and_amendments(spark, candidates, listings):
     held = listings(
-        {"id": 7, "title": "Engineer Recruitment", "department": "Example PSU", "location": "Delhi", "last_date": datetime(2026, 12, 31), "source_id": 3, "source_job_id": "ADV-42", "notification_link": "https://example.gov.in/notice.pdf"},
-        {"id": 9, "title": "Assistant Engineer Electrical Posts", "source_id": 4, "location": "Patna"},
+        {"id": 7, "title": "Lighthouse Crew Recruitment", "department": "Coast Board", "location": "Delhi", "last_date": datetime(2026, 12, 31), "source_id": 3, "source_job_id": "LH-31", "notification_link": "https://coast.example.in/crew.pdf"},
+        {"id": 9, "title": "Senior Glacier Surveyor Posts", "source_id": 4, "location": "Patna"},
     )
     rows = candidates(
-        {"title": "Changed title", "source_job_id": "adv-42", "source_id": 3},
-        {"title": "Other", "notification_link": "https://www.example.gov.in/notice.pdf?utm_source=x", "source_id": 3},
-        {"title": "Corrigendum: Assistant Engineer Electrical Posts last date extension", "is_corrigendum": True, "source_id": 4},
+        {"title": "Changed title", "source_job_id": "lh-31", "source_id": 3},
+        {"title": "Other", "notification_link": "https://www.coast.example.in/crew.pdf?utm_medium=m", "source_id": 3},
+        {"title": "Corrigendum: Senior Glacier Surveyor Posts last date extension", "is_corrigendum": True, "source_id": 4},
         {"title": "Nothing", "source_id": 4},
     )
     got = {r["cand_id"]: (r["listing_id"], r["matched_by"]) for r in linkage.match_candidates(rows, held).collect()}
@@ -33,8 +34,8 @@ def test_match_priority_and_amendments(spark, candidates, listings):
 
 
 def test_changed_fields_name_true_changes(spark, candidates, listings):
-    held = listings({"id": 71, "title": "Recruitment of Engineers", "last_date": datetime(2026, 10, 10), "source_id": 3, "source_job_id": "ENG/1", "notification_link": "https://example.gov.in/eng.pdf"})
-    rows = candidates({"title": "recruitment of engineers!", "source_job_id": "ENG/1", "source_id": 3, "last_date": "15/10/2026", "notification_link": "https://www.example.gov.in/eng.pdf#p"})
+    held = listings({"id": 44, "title": "Recruitment of Crane Drivers", "last_date": datetime(2026, 10, 10), "source_id": 3, "source_job_id": "CD/6", "notification_link": "https://coast.example.in/cranes.pdf"})
+    rows = candidates({"title": "recruitment of crane drivers!", "source_job_id": "CD/6", "source_id": 3, "last_date": "15/10/2026", "notification_link": "https://www.coast.example.in/cranes.pdf#p"})
     row = linkage.with_changes(rows, linkage.match_candidates(rows, held), held).first()
     assert row["changes"] == ["last_date"]
 
@@ -78,23 +79,22 @@ def test_batch_dedupe_equals_the_ordered_walk(spark, candidates, seed):
 
 def test_merge_prefers_first_facts_and_documents(spark, candidates):
     rows = candidates(
-        {"title": "DEBEL invites applications for Junior Research Fellow", "source_job_id": "D/1", "notification_link": "https://d.in/jrf", "raw_text": "page"},
-        {"title": "ADVERTISEMENT FOR THE AWARD OF JUNIOR RESEARCH FELLOW", "source_job_id": "d/1", "qualification": "BE", "notification_link": "https://d.in/jrf.pdf", "raw_text": "document text " * 9, "is_corrigendum": True},
+        {"title": "Glacier Station invites applications for Field Glaciologist", "source_job_id": "GST/2", "notification_link": "https://g.in/ice", "raw_text": "page"},
+        {"title": "ADVERTISEMENT FOR THE POST OF FIELD GLACIOLOGIST", "source_job_id": "gst/2", "qualification": "BE", "notification_link": "https://g.in/ice.pdf", "raw_text": "document text " * 9, "is_corrigendum": True},
     )
     row = merge.merge_notices(rows).collect()
-    assert len(row) == 1 and row[0]["notification_link"] == "https://d.in/jrf.pdf" and row[0]["qualification"] == "BE"
+    assert len(row) == 1 and row[0]["notification_link"] == "https://g.in/ice.pdf" and row[0]["qualification"] == "BE"
     assert row[0]["raw_text"].startswith("document") and row[0]["is_corrigendum"] and row[0]["merged"] == 2
 
 
-def test_long_sources_hash_in_runs(spark, monkeypatch):
-    monkeypatch.setattr(merge, "HASH_FAN_OUT", 3)
-    c = spark.range(7).select(F.lit(1).alias("source_id"), F.col("id").alias("pos"), F.col("id").cast("string").alias("content_hash"))
+def test_sources_of_any_length_hash_by_one_rule(spark):
+    c = spark.range(2500).select(F.lit(1).alias("source_id"), F.col("id").alias("pos"), F.col("id").cast("string").alias("content_hash"))
     p = spark.createDataFrame([(1, "p"), (2, "q")], "source_id int, content_hash string")
     import hashlib
 
     h = lambda parts: hashlib.sha256("|".join(parts).encode()).hexdigest()
     got = {r["source_id"]: r["content_hash"] for r in merge.source_content_hash(c, p).collect()}
-    assert got == {1: h([h(["p", "0", "1"]), h(["2", "3", "4"]), h(["5", "6"])]), 2: h(["q"])}
+    assert got == {1: h(["p", *map(str, range(2500))]), 2: h(["q"])}
 
 
 def _events(spark, seed, n=400):
@@ -223,3 +223,80 @@ def test_every_oracle_has_its_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_numbers_are_dense_in_order(spark):
+    from gazette.scale import in_order, number_rows
+
+    df = spark.range(3000).select((F.col("id") * F.lit(1 << 40)).alias("pos"), (F.col("id") % 3).alias("k")).repartition(7)
+    assert sorted((r["pos"] >> 40, r["n"]) for r in number_rows(df, [], "pos").collect()) == [(i, i) for i in range(3000)]
+    assert all(r["n"] == (r["pos"] >> 40) // 3 for r in number_rows(df, ["k"], "pos").collect())
+    far = spark.createDataFrame([(2**40, 3), (2**40, 1), (5, 9)], "page_id bigint, place int")
+    assert [r["place"] for r in in_order(far, ["page_id", "place"], "pos").orderBy("pos").collect()] == [9, 1, 3]
+
+
+def test_run_accounting(spark):
+    from gazette.operators import runs
+
+    at = datetime(2026, 1, 1)
+    rows = [(1, "r", 1, "ERROR", None, None), (2, "r", 2, "ERROR", "Clerk", None), (3, "r", 2, "SKIPPED", "Tutor", None), (4, "s", 1, "ADDED", "Pilot", None),
+            (5, "s", None, "SKIPPED", None, '{"kind":"metrics","processed":9,"skipped":4,"expired":2,"candidates":11}')]
+    items = spark.createDataFrame([(i, r, s, a, t, d, at + timedelta(minutes=i)) for i, r, s, a, t, d in rows],
+                                  "id bigint, run_id string, source_id bigint, action string, candidate_title string, details string, created_at timestamp_ntz")
+    got = {r["run_id"]: r for r in runs.run_summary(items).collect()}
+    assert (got["r"]["sources_failed"], got["r"]["sources_succeeded"], got["r"]["errors"], got["r"]["skipped"]) == (1, 1, 2, 1)
+    assert (got["s"]["processed"], got["s"]["skipped"], got["s"]["expired"], got["s"]["candidates"]) == (9, 4, 2, 11)
+    health = {r["source_id"]: r["consecutive_failures"] for r in runs.source_health(items).collect()}
+    assert health[2] == 0 and health[1] == 0
+    assert runs.recent_runs(spark.createDataFrame([("r", at), ("s", at + timedelta(1))], "run_id string, started_at timestamp_ntz"), items, 1, 9).count() == 2
+
+
+def test_changes_move_the_time_of_update(spark, listings):
+    before = datetime(2026, 1, 1)
+    rows = listings({"id": 1, "last_date": datetime(2026, 2, 1), "updated_at": before}, {"id": 2, "last_date": datetime(2027, 2, 1), "updated_at": before})
+    moved = lambda df: {r["id"]: r["updated_at"] > before for r in df.collect()}
+    assert moved(snapshot.expire(rows, NOW)) == {1: True, 2: False}
+    seen = spark.createDataFrame([(2, "DUPLICATE")], "listing_id bigint, action string")
+    assert moved(snapshot.touch_duplicates(rows, seen, NOW, 1)) == {1: False, 2: True}
+
+
+def test_only_stored_hashes_are_indexed(spark, candidates, listings):
+    facts = {"title": "Recruitment of Pilots", "department": "Harbour", "location": "Quay", "last_date": datetime(2031, 4, 19)}
+    held = listings({"id": 1, **facts, "source_job_id": "HB/8"}, {"id": 2, **facts, "source_job_id": "HB/9"})
+    row = candidates({**facts, "last_date": "19/04/2031", "source_job_id": "HB/8", "source_id": 77})
+    assert [(r["listing_id"], r["matched_by"]) for r in linkage.match_candidates(row, held).collect()] == [(2, "title/department/location/date")]
+    stored = held.withColumn("source_hash", F.when(F.col("id") == 1, identity.fingerprint(F.col("title"), F.col("department"), F.col("location"), F.lit("2031-04-19"), F.col("source_job_id"))))
+    assert [(r["listing_id"], r["matched_by"]) for r in linkage.match_candidates(row, stored).collect()] == [(1, "source fingerprint")]
+
+
+def test_backups_of_several_files_keep_their_order(spark):
+    folder = tempfile.mkdtemp(prefix="gazette-test-")
+    for name, ids in (("a.json", range(3)), ("b.json", range(3, 400)), ("c.json", range(400, 402))):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write("".join(f'{{"id": {i}, "title": "t{i}"}}\n' for i in ids) + ("not json\n" if name == "a.json" else ""))
+    rows = files.read_backup(spark, folder).orderBy("seq").collect()
+    assert [r["id"] for r in rows if r["id"] is not None] == list(range(402))
+    assert rows[3]["_broken"] == "not json"
+
+
+def test_pages_stream_into_snapshots(spark, listings, sources):
+    folder = tempfile.mkdtemp(prefix="gazette-test-")
+    card = '<article><h3>Recruitment of {0} (Apply Online from 05.03.2031 to 19.04.2031)</h3><p>ADVERTISEMENT NO: HB/{1}/2031</p><p>LAST DATE TO APPLY: 19-04-2031</p><a href="/f/{1}.pdf">DOWNLOAD ADVERTISEMENT</a></article>'
+    pages = spark.createDataFrame([(2**40 + i, 1, "https://example.gov.in/jobs", card.format(n, i)) for i, n in enumerate(["Pilots", "Keepers"])], "page_id bigint, source_id bigint, url string, html string")
+    for row in range(2):
+        pages.where(F.col("page_id") == 2**40 + row).coalesce(1).write.mode("append").parquet(f"{folder}/pages")
+    files.write_snapshot(listings({"id": 1, "title": "Recruitment of Wardens"}), f"{folder}/snap", 0)
+    none = spark.createDataFrame([], "source_id bigint, candidate_key string, snapshot_hash string, decision string, reason string")
+    newest = {"n": 0}
+
+    def store(df, number):
+        files.write_snapshot(df, f"{folder}/snap", number + 1)
+        newest["n"] = number + 1
+
+    load = lambda: files.read_snapshot(spark, f"{folder}/snap", newest["n"])
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages")
+    q = jobs.stream_ingest(stream, load, store, sources({}), none, lambda: NOW, f"{folder}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    titles = [r["title"] for r in load().collect()]
+    assert newest["n"] == 2 and len(titles) == 3 and sorted(t.split()[-1] for t in titles)[-1] == "Wardens"
+    assert [sum(word in t for t in titles) for word in ("Pilots", "Keepers")] == [1, 1]
