@@ -90,3 +90,36 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near-duplicates and whether it stays."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op2_url_filter"] = rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+  r AS (SELECT *, CASE WHEN '.' || host LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN '.' || host LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+      WHEN '.' || host LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN '.' || host LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule,
+    CASE WHEN '.' || host LIKE '%.tracker.%' THEN '*.tracker.* **' WHEN path LIKE '%/login%' THEN '* **/login**' WHEN path LIKE '%/ads/%' THEN '* **/ads/**' WHEN '.' || host LIKE '%.ads.%' THEN '*.ads.* **'
+      WHEN path LIKE '%.zip' THEN '* **.zip' WHEN path LIKE '%.exe' THEN '* **.exe' ELSE '**' END AS fallback FROM p)
+SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
+    ELSE CASE WHEN fallback = '**' THEN 'allow' ELSE 'block' END END AS verdict,
+  CASE WHEN rule IS NULL THEN fallback ELSE '*.' || split_part(rule, '/', 1) || ' /' || substr(rule, instr(rule, '/') + 1) || '**' END AS matched_glob
+FROM r"""
+
+ORACLES["op5_warc_bundles"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages), h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+  d AS (SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY hex) AS first,
+    list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || rpad(substr(hex, CAST(i * 5 // 4 + 1 AS INTEGER), 2), 2, '0') AS BIGINT) // (2 ** (3 - i * 5 % 4))::BIGINT) % 32 AS INTEGER), 1)), lambda a, b: a || b) AS payload_digest FROM h)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
+
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op9_decontamination"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  i AS MATERIALIZED (SELECT DISTINCT item_id, size, w[j:j + size - 1] AS words FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS j FROM b WHERE len(w) > 0)),
+  s AS (SELECT DISTINCT size FROM i),
+  t AS (SELECT doc_id, size, j, w[j:j + size - 1] AS words FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS j FROM d, s WHERE len(w) >= size)),
+  o AS MATERIALIZED (SELECT t.doc_id, t.j, t.size, i.item_id FROM t JOIN i ON t.size = i.size AND t.words = i.words),
+  hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(j, j + size)) AS p FROM o) GROUP BY doc_id),
+  it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS item FROM o) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id"""
