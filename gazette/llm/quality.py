@@ -23,7 +23,9 @@ LABELLERS = ("capitals", "symbols", "bars", "shouting", "repeats", "echoes", "pl
 #: Documents the scorer learns from, those whose text hashes lowest.
 SAMPLE_ROWS = 10_000
 DIMENSION_BITS = 12
-THRESHOLD = 0.4
+#: Factor on the log odds of the posterior labels.
+SHARPEN = 3.0
+THRESHOLD = 0.3
 _ROWS = 256
 
 _byte = np.arange(256)
@@ -157,8 +159,11 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray | None:
     last = texts.select("shard_key").distinct().orderBy("shard_key").limit(sample_rows).agg(F.max("shard_key")).first()[0]
     picked = written(texts.where(F.col("shard_key") <= last).dropDuplicates(["shard_key"]), "quality-sample")
 
+    # The scorer learns the more likely class; how sure the votes are only softens it.
+    target = {p: float(sigmoid(SHARPEN * np.log(q / (1 - q)))) for p, q in label.items()}
+
     def make(data, offsets):
-        return (np.array([label[p] for p in votes(data, offsets).tolist()]),)
+        return (np.array([target[p] for p in votes(data, offsets).tolist()]),)
 
     sample = append_columns(picked, "text", make, "target double").select("shard_key", "text", "target")
     return fit(sample, featurize, 1 << DIMENSION_BITS, alpha=0.3, l1=0.02, l2=0.1, rounds=6, shards=4)
