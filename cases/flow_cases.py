@@ -13,6 +13,7 @@ from gazette import vocabulary as V
 from gazette.operators import merge, normalize, quota
 from gazette.plans import proposals
 from gazette.sources import files
+from gazette.scale import written
 from gazette.streaming import jobs
 
 # --- quotas --------------------------------------------------------------------------
@@ -140,8 +141,7 @@ def _(t: Tables):
 
 
 # --- drafts ----------------------------------------------------------------------------------
-@query("create_drafts")
-def _(t: Tables):
+def _drafts(t: Tables):
     prepared = proposals.prepare_candidates(t.candidates)
     fixed = F.when(F.col("pos") % 2 == 0, F.create_map(F.lit("last_date"), F.lit("2027-01-01")))
     requests = prepared.select(
@@ -149,9 +149,25 @@ def _(t: Tables):
         F.when(F.col("pos") % 5 == 0, F.lit("0" * 64)).otherwise(F.col("snapshot_hash")).alias("snapshot_hash"),
         F.coalesce(fixed, F.create_map().cast("map<string,string>")).alias("corrections"),
     ).dropDuplicates(["source_id", "candidate_key", "snapshot_hash"])
-    unseen = t.spread("listings").where("category = 'Private Jobs'")
-    out = proposals.create_drafts(requests, prepared, unseen, t.sources, _decisions(prepared), NOW)
-    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return proposals.create_drafts(requests, prepared, t.spread("listings"), t.sources, _decisions(prepared), NOW)
+
+
+@query("create_drafts")
+def _(t: Tables):
+    return _drafts(t).select("cand_id", "source_id", "candidate_key", "snapshot_hash", "listing_id", "outcome")
+
+
+@query("draft_rows")
+def _(t: Tables):
+    outcomes = written(_drafts(t), "drafts")
+    rows = proposals.draft_rows(outcomes, t.listings, NOW, 3)
+    return rows.select("id", "cand_id", "title", "status", "review_status", "published_at", "source_id", "last_date")
+
+
+@query("draft_items")
+def _(t: Tables):
+    outcomes = written(_drafts(t), "drafts")
+    return proposals.draft_items(outcomes, proposals.draft_rows(outcomes, t.listings, NOW, 3), "r3")
 
 
 # --- export -----------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gazette import vocabulary as V
-from gazette.operators import linkage, normalize, review, scoring
+from gazette.operators import linkage, normalize, review, scoring, snapshot
 from gazette.operators.cleaning import clean_notice_fields
 from gazette.scale import written
 
@@ -166,3 +166,28 @@ def create_drafts(
     return done.unionByName(
         stale.drop("asked_hash", "corrections").withColumn("outcome", F.lit("STALE")), allowMissingColumns=True
     )
+
+
+def draft_rows(outcomes: DataFrame, listings: DataFrame, now: datetime | str, run_id: int) -> DataFrame:
+    """The listing rows of the requests that `create_drafts` granted, with their `cand_id`.
+
+    They are drafts verified by hand and never published, numbered on from the
+    largest held id in the order of the candidates.
+    """
+    granted = outcomes.where(F.col("outcome") == "DRAFT_CREATED").withColumn("eligible", F.lit(False))
+    rows = snapshot.insert_new(granted, listings, now, run_id)
+    return rows.withColumns({"status": F.lit("DRAFT"), "review_status": F.lit("MANUAL_VERIFIED")})
+
+
+def draft_items(outcomes: DataFrame, rows: DataFrame, run_id: str) -> DataFrame:
+    """One log row per decided request: ADDED for a new draft, SKIPPED for a pending update, DUPLICATE for a known notice."""
+    made = rows.select("cand_id", F.col("id").alias("draft_id"))
+    action = (
+        F.when(F.col("outcome") == "DRAFT_CREATED", "ADDED").when(F.col("outcome") == "WOULD_UPDATE", "SKIPPED")
+        .when(F.col("outcome") == "DUPLICATE", "DUPLICATE")
+    )
+    logged = outcomes.withColumn("action", action).where(F.col("action").isNotNull()).join(made, "cand_id", "left")
+    return logged.select(
+        F.lit(run_id).alias("run_id"), "source_id", F.col("source.name").alias("source_name"), F.col("title").alias("candidate_title"), "action",
+        F.coalesce("draft_id", "listing_id").alias("job_id"), F.col("outcome").alias("kind"),
+    )

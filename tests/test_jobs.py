@@ -163,6 +163,12 @@ def test_drafts(spark, candidates, listings, sources):
     prepared = proposals.prepare_candidates(rows)
     keys = prepared.select("source_id", "candidate_key", "snapshot_hash", F.create_map().cast("map<string,string>").alias("corrections"))
     outcomes = lambda asked, board, ruled=none: {r["title"]: r["outcome"] for r in proposals.create_drafts(asked, prepared, board, sources({}), ruled, NOW).collect()}
+    made = proposals.create_drafts(keys, prepared, held, sources({}), none, NOW)
+    rows = proposals.draft_rows(made, held, NOW, 9)
+    row = rows.first()
+    assert (row["id"], row["title"], row["status"], row["review_status"], row["published_at"]) == (2, "Recruitment of Clerks", "DRAFT", "MANUAL_VERIFIED", None)
+    log = {r["candidate_title"]: (r["action"], r["job_id"]) for r in proposals.draft_items(made, rows, "r").collect()}
+    assert log == {"Recruitment of Clerks": ("ADDED", 2), "Recruitment of Engineers": ("SKIPPED", 1)}
     first = outcomes(keys, held)
     assert first["Recruitment of Clerks"] == "DRAFT_CREATED" and first["Recruitment of Engineers"] == "WOULD_UPDATE"
     assert first["Corrigendum: Posts of Tutors"] == "NOT_ELIGIBLE"
