@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cases import sqlkit as k
@@ -13,7 +15,7 @@ from gazette import vocabulary as V
 from gazette.operators import merge, normalize, quota
 from gazette.plans import proposals
 from gazette.sources import files
-from gazette.scale import written
+from gazette.scale import number_rows, shared_folder, written
 from gazette.streaming import jobs
 
 # --- quotas --------------------------------------------------------------------------
@@ -194,3 +196,28 @@ def _(t: Tables):
     prepared = proposals.prepare_candidates(t.candidates)
     out = jobs.ingest_pages(t.pages_in, t.spread("listings"), t.sources, _decisions(prepared), NOW, 9)
     return out.select("id", "title", "status", "source_job_id", "automation_run_id")
+
+
+# --- files and streams -------------------------------------------------------------------------
+@query(
+    "backup_round_trip",
+    "SELECT row_number() OVER (ORDER BY id) - 1 AS place, id, title, category, department, status, featured FROM listings",
+    ("listings",),
+)
+def _(t: Tables):
+    path = f"{shared_folder(t.spark).rstrip('/')}/backup-{uuid.uuid4().hex}"
+    files.export_json(t.spread("listings"), path)
+    return number_rows(files.read_backup(t.spark, path), [], "seq", "place").select("place", "id", "title", "category", "department", "status", "featured")
+
+
+@query("snapshot_round_trip", "SELECT id, title, status, last_date, source_id, updated_at FROM listings", ("listings",))
+def _(t: Tables):
+    path = f"{shared_folder(t.spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    files.write_snapshot(t.spread("listings"), path, 7)
+    return files.read_snapshot(t.spark, path, 7).select("id", "title", "status", "last_date", "source_id", "updated_at")
+
+
+# The counters over a log that is complete: the same plan as over a stream.
+@query("run_counters", "SELECT CAST(created_at AS DATE) AS day, source_id, action, count(*) AS n FROM run_items GROUP BY ALL", ("run_items",))
+def _(t: Tables):
+    return jobs.stream_run_counters(t.run_items).withColumn("day", F.col("day").cast("date"))
