@@ -145,25 +145,28 @@ def closest_detail(base: DataFrame, details: DataFrame) -> DataFrame:
     """(base_id, detail_id): the detail record of the same page that fits a listing record best.
 
     Both sides carry `page_id`: the detail page the base record links to.  Same
-    notice id first, then a title containing the other, then the only record.
+    notice id first, then a title containing the other, then the only record; of
+    several the first by `pos`.  Records of one page, id and title are one record
+    before anything is joined, and titles meet only where the id found nothing,
+    so a page of many copies costs what its distinct titles cost.
     """
     left = base.select("base_id", "page_id", fold("source_job_id").alias("id"), fold("title").alias("title"))
     right = details.select(
-        "detail_id", "page_id", "pos", fold("source_job_id").alias("d_id"), fold("title").alias("d_title")
-    )
-    alone = details.groupBy("page_id").agg(F.count(F.lit(1)).alias("records"))
-    # The records of one page are few by construction (one page, one recruiter).
-    pairs = left.join(right, "page_id").join(alone, "page_id")
-    rank = (
-        F.when((F.col("id") != "") & (F.col("id") == F.col("d_id")), 1)
-        .when(F.col("d_title").contains(F.col("title")) | F.col("title").contains(F.col("d_title")), 2)
-        .when(F.col("records") == 1, 3)
+        "page_id", fold("source_job_id").alias("d_id"), fold("title").alias("d_title"), F.struct("pos", "detail_id").alias("d")
     )
+    by_id = right.where("d_id <> ''").groupBy("page_id", F.col("d_id").alias("id")).agg(F.min("d").alias("by_id"))
+    found = left.join(by_id, ["page_id", "id"], "left")
+    open_titles = found.where(F.col("by_id").isNull()).select("page_id", "title").distinct()
+    titles = right.groupBy("page_id", "d_title").agg(F.min("d").alias("d"))
+    fits = F.col("d_title").contains(F.col("title")) | F.col("title").contains(F.col("d_title"))
+    by_title = open_titles.join(titles, "page_id").where(fits).groupBy("page_id", "title").agg(F.min("d").alias("by_title"))
+    alone = right.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("only")).where("n = 1").select("page_id", "only")
+    best = F.coalesce("by_id", "by_title", "only")
     return (
-        pairs.withColumn("rank", rank)
-        .where(F.col("rank").isNotNull())
-        .groupBy("base_id")
-        .agg(F.min_by("detail_id", F.struct("rank", "pos")).alias("detail_id"))
+        found.join(by_title, ["page_id", "title"], "left")
+        .join(alone, "page_id", "left")
+        .where(best.isNotNull())
+        .select("base_id", best["detail_id"].alias("detail_id"))
     )
 
 
