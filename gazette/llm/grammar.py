@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gazette.llm.files import RangeReader, new_folder, partition_id, write_whole
 from gazette.llm.tokens import pieces_of
-from gazette.llm.words import mix
 from gazette.scale import written
 
 MAGIC = b"RPGRAM01"
@@ -41,7 +40,7 @@ _BITS = 20
 def _frequent(left: np.ndarray, right: np.ndarray, ok: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For every place the rank of its pair among the `most` frequent ones (-1: not among them), and those pairs."""
     key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-    slot = (mix(key) >> np.uint64(64 - _BITS)).astype(np.int64)
+    slot = ((key ^ key >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
     slot[~ok] = 1 << _BITS
     rough = np.bincount(slot, minlength=(1 << _BITS) + 1)
     rough[1 << _BITS] = 0
@@ -230,5 +229,6 @@ def read_documents(files: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    # A file is a unit of work: deal the rows out over all tasks.
-    return files.select("path", "start").repartition("path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # A file is a unit of work; as many tasks read them as wrote them.
+    tasks = files.select("part").distinct().count()
+    return files.select("path", "start").repartition(max(tasks, 1)).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
