@@ -8,7 +8,8 @@ library. The class of a character that is unassigned here is asked of the
 library, whose edition of Unicode may be another. Texts holding a special
 string, and for a tokenizer that normalises also those with unassigned
 characters or letters whose lower case depends on the neighbours (final
-sigma), go to the library whole.
+sigma), go to the library whole; so does every text if the file cuts by rules
+other than the two known here.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import regex
 from gazette.llm.words import mix, powers
 
 #: Pieces a worker remembers; when full it starts over.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 #: Characters worked on at once.
 CHUNK_CHARS = 1 << 19
 LETTER, NUMBER, SIGN, SPACE, UNASSIGNED = 1, 2, 3, 4, 5
@@ -35,6 +36,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BLANK, _QUOTE = ord(" "), ord("'")
 #: The contractions that are pieces of their own: fixed values of both tokenizer files.
 _SHORT, _PAIRS = "stmd", ("re", "ve", "ll")
+#: How the word tokenizer file cuts: a fixed value that the cutting here follows.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,6 +63,21 @@ def classes() -> np.ndarray:
     return out
 
 
+def _joins_spaces(spec: dict) -> bool:
+    """Byte-level pieces as they stand, a space with the word after it."""
+    cutter = spec["pre_tokenizer"] or {}
+    return spec["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"]
+
+
+def _drops_spaces(spec: dict) -> bool:
+    """Composed, lower-cased pieces without white space, single digits, each with an end sign."""
+    types = lambda part, name: [x["type"] for x in (part or {}).get(name, [])]
+    if types(spec["normalizer"], "normalizers") != ["NFC", "Replace", "Lowercase"] or types(spec["pre_tokenizer"], "pretokenizers") != ["Split", "ByteLevel"]:
+        return False
+    split = spec["pre_tokenizer"]["pretokenizers"][0]
+    return split["pattern"].get("Regex") == WORD_PATTERN and split["invert"] and spec["model"]["end_of_word_suffix"] == "</w>"
+
+
 class Pieces:
     """The pieces of a tokenizer file and their ids, remembered across batches."""
 
@@ -71,7 +89,8 @@ class Pieces:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.joined = spec["pre_tokenizer"]["type"] == "ByteLevel"  # a space belongs to the piece after it
+        self.joined = _joins_spaces(spec)
+        self.known = self.joined or _drops_spaces(spec)
         # Ids that begin a piece after a blank, or end a word: they part pieces that are encoded together.
         self.edge = np.zeros(self.library.get_vocab_size() + 1, bool)
         for token, number in self.library.get_vocab(with_added_tokens=False).items():
@@ -95,7 +114,7 @@ class Pieces:
 
     def _plain(self, text: str) -> str | None:
         """The text as its pieces are cut from it; None if only the library can tell."""
-        if "<|" in text and any(s in text for s in self.specials):
+        if not self.known or any(s in text for s in self.specials):
             return None
         if text.isascii():
             return text if self.joined else text.lower()

@@ -61,6 +61,21 @@ def test_ids_are_those_of_the_library(name):
         assert ids[first[i] : first[i + 1]].tolist() == want.ids, texts[i]
 
 
+def test_unknown_rules_are_left_to_the_library(tmp_path):
+    import json
+
+    with open(tokens.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    pieces = tokens.Pieces(str(tmp_path / "other.json"))
+    assert not pieces.known and tokens.Pieces(tokens.tokenizer_path("word_bpe_49k.json")).known
+    texts = fuzz(50, 30)
+    ids, first = pieces.encode(texts)
+    for i, want in enumerate(pieces.library.encode_batch(texts, add_special_tokens=False)):
+        assert ids[first[i] : first[i + 1]].tolist() == want.ids
+
+
 def test_a_full_memory_starts_over(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     monkeypatch.setattr(tokens, "CHUNK_CHARS", 100)
