@@ -22,7 +22,7 @@ from gazette.scale import written
 
 THRESHOLD = 0.95
 #: Nearest pivots that describe a vector, and how many of them a pair must share.
-NEAREST = 6
+NEAREST = 10
 SHARED = 2
 #: Pivots are the vectors whose hashes are lowest; their number follows the square root of all vectors up to a bound.
 LEAST_PIVOTS, MOST_PIVOTS = 16, 16_384
