@@ -157,7 +157,7 @@ def with_roles(pages: DataFrame, page_id: str = "page_id", html: str = "html", l
 
 
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write a record for every page; gives one row (path, records, bytes) per file.
+    """Write a record for every page; gives one row (part, path, records, bytes) per file.
 
     A null html is an empty payload, null ids and urls are written as such; other
     columns are not read. A task holds one file's compressed frames.
@@ -171,7 +171,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         def flush():
             nonlocal number, bundle
             path, size = write_whole(folder, f"part-{part:06d}-{number:06d}.warc.zst", bundle.chunks())
-            out = pa.RecordBatch.from_pydict({"path": [path], "records": [len(bundle.entries)], "bytes": [size]})
+            out = pa.RecordBatch.from_pydict({"part": [part], "path": [path], "records": [len(bundle.entries)], "bytes": [size]})
             number, bundle = number + 1, Bundle()
             return out
 
@@ -184,7 +184,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         if bundle.entries:
             yield flush()
 
-    return written(rows.mapInArrow(run, "path string, records bigint, bytes bigint"), "warc-files")
+    return written(rows.mapInArrow(run, "part bigint, path string, records bigint, bytes bigint"), "warc-files")
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -209,8 +209,10 @@ def read_archives(files: DataFrame) -> DataFrame:
                         rows.append((int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, len(payload) if kind == "response" else None, digest, kind, key("WARC-Record-ID"), key("WARC-Refers-To")))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+    # A file is a unit of work; as many tasks read them as wrote them.
+    tasks = files.select("part").distinct().count()
     found = written(
-        files.select("path").repartition("path").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, own binary, refers binary"),
+        files.select("path").repartition(max(tasks, 1)).mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, own binary, refers binary"),
         "warc-records",
     )
     named = found.where(F.col("refers").isNotNull()).select(F.col("refers").alias("own")).distinct()
