@@ -320,8 +320,9 @@ def test_pieces_cover_every_document(spark):
 def test_the_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "near-duplicates", "benchmark decontamination", "packing"]
     item = words(30, 31)
-    clean = [(i, " ".join(words(60, 1000 + i)).capitalize() + ".") for i in range(60)]
-    toxic = [(200 + i, " ".join(words(60, 2000 + i)) + " vile") for i in range(30)]
+    clean = [(i, " ".join(words(60, 1000 + i)).capitalize() + ".") for i in range(120)]
+    # A text of unknown words scores as the share of toxic labels, which has to lie under the threshold.
+    toxic = [(200 + i, " ".join(words(60, 2000 + i)) + " vile") for i in range(24)]
     junk = [(300 + i, " ".join(f"{w}$$$" for w in words(60, 3000 + i))) for i in range(6)]
     leak = [(400, " ".join(words(30, 4000) + item[:12]))]
     rows = clean + toxic + junk + leak + [(500, clean[0][1]), (501, clean[1][1] + " more"), (None, None), (502, ""), *EDGES[4:6]]
@@ -336,7 +337,8 @@ def test_the_pipeline_stages(spark, tmp_path):
         if name != "packing":
             assert docs.columns == ["doc_id", "text", "score", "_k1", "n_chars"]
     kept = {i for i, _ in clean}
-    assert kept <= seen["packing"] and not seen["packing"] & {400, 500, 501, *(i for i, _ in toxic), *(i for i, _ in junk)}
+    assert {n: kept - ids for n, ids in seen.items()} == dict.fromkeys(seen, set())
+    assert not seen["packing"] & {400, 500, 501, *(i for i, _ in toxic), *(i for i, _ in junk)}
     assert 400 in seen["near-duplicates"] and 500 in seen["quality classifier"] and {None, 502} <= seen["packing"]
 
 
