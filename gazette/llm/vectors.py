@@ -4,9 +4,10 @@ Every vector is described by the ordered list of the pivots (reference vectors)
 nearest to it. Inverted lists hold, per pivot, the vectors that have it among
 their nearest. Inside a list, pairs sharing enough pivots are verified by their
 cosine in double precision; a pair is judged only in the list of the smallest
-pivot it shares, so none is counted twice. Long lists are cut into blocks, and
-pairs of blocks are separate work; tasks hand back counts and local components,
-never pairs. Equal vectors are one entry with a count.
+pivot it shares, so none is counted twice. Pivots keep a least angle from one
+another, so a dense group shares its few pivots and is judged whole. Long lists
+are cut into blocks, and pairs of blocks are separate work; tasks hand back counts
+and local components, never pairs. Equal vectors are one entry with a count.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ NEAREST = 10
 SHARED = 2
 #: Pivots are the vectors whose hashes are lowest; their number follows the square root of all vectors up to a bound.
 LEAST_PIVOTS, MOST_PIVOTS = 16, 16_384
-BLOCK = 1024
+#: Cosine of the least angle between two pivots.
+APART = 0.8
+#: Rows of a block; lists of more than `BLOCKS` blocks have larger ones, up to `LARGEST` times as large.
+BLOCK, BLOCKS, LARGEST = 1024, 8, 16
 
 
 def usable(embedding: str) -> F.Column:
@@ -67,30 +71,72 @@ def permutations(vectors: DataFrame, pivots: np.ndarray, nearest: int) -> DataFr
     return vectors.mapInArrow(run, StructType([*vectors.schema.fields, StructField("pivots", ArrayType(IntegerType()))]))
 
 
+def thinned(sample: np.ndarray, apart: float = APART) -> np.ndarray:
+    """Vectors of `sample` no two of which have a cosine of `apart` or more, those that stand for the most vectors last."""
+    kept, stand = np.empty_like(sample), np.zeros(len(sample), np.int64)
+    n = 0
+    for a in range(0, len(sample), 512):
+        part = sample[a : a + 512]
+        old, inner, first = part @ kept[:n].T, part @ part.T, n
+        near = old.argmax(axis=1) if n else None
+        new = []
+        for i in range(len(part)):
+            if first and old[i, near[i]] >= apart:
+                stand[near[i]] += 1
+            elif new and inner[i, new].max() >= apart:
+                stand[first + inner[i, new].argmax()] += 1
+            else:
+                kept[n] = part[i]
+                new.append(i)
+                n += 1
+    return kept[:n][np.argsort(stand[:n], kind="stable")]
+
+
 def _links(threshold: float, shared: int):
     def judge(table):
         pivot, left, right = (table.column(c)[0].as_py() for c in ("pivot", "left", "right"))
-        unit = _unit(_matrix(table.column("embedding")))
-        lists = table.column("pivots").combine_chunks()
-        held = lists.flatten().to_numpy().reshape(len(unit), -1)
-        known, place = np.unique(held, return_inverse=True)
-        has = np.zeros((len(unit), len(known)), np.float32)
-        has[np.arange(len(unit))[:, None], place.reshape(held.shape)] = 1
-        lower = has[:, known < pivot]
-        link = (unit @ unit.T >= threshold) & (has @ has.T >= shared) & (lower @ lower.T == 0)
+        table = table.take(np.argsort(table.column("node").to_numpy(), kind="stable"))
+        size, node = table.column("size").to_numpy().astype(np.float64), table.column("node").to_numpy()
+        embedding, lists = table.column("embedding").combine_chunks(), table.column("pivots").combine_chunks()
+        held = lists.flatten().to_numpy().reshape(len(node), -1)
         block = table.column("block").to_numpy()
-        link &= (block[:, None] != block[None, :]) if left != right else True
-        np.fill_diagonal(link, False)
-        size, node = table.column("size").to_numpy(), table.column("node").to_numpy()
-        count = link @ size.astype(np.float64)
-        label, top = node.copy(), np.iinfo(np.int64).max
-        while True:
-            best = np.minimum(label, np.where(link, label[None, :], top).min(axis=1, initial=top))
-            if (best == label).all():
-                break
-            label = best
+        ours, others = ([at[i : i + 1024] for i in range(0, len(at), 1024)] for at in (np.flatnonzero(block == left), np.flatnonzero(block == right)))
+        if left == right:
+            others = ours
+        count, root = np.zeros(len(node)), np.arange(len(node))
+        for i, a in enumerate(ours):
+            one = _unit(_matrix(embedding.take(a)))
+            for b in others[i:] if left == right else others:
+                link = one @ _unit(_matrix(embedding.take(b))).T >= threshold
+                if a is b:
+                    np.fill_diagonal(link, False)
+                if not link.any():
+                    continue
+                known = np.intersect1d(held[a], held[b])
+                has = []
+                for rows in (held[a], held[b]):
+                    place = np.minimum(np.searchsorted(known, rows), len(known) - 1)
+                    has.append(np.zeros((len(rows), len(known)), np.float32))
+                    at, nth = np.nonzero(known[place] == rows)
+                    has[-1][at, place[at, nth]] = 1
+                lower = known < pivot
+                link &= (has[0] @ has[1].T >= shared) & (has[0][:, lower] @ has[1][:, lower].T == 0)
+                count[a] += link @ size[b]
+                if a is not b:
+                    count[b] += link.T @ size[a]
+                while True:
+                    best = root.copy()
+                    best[a] = np.minimum(best[a], np.where(link, root[b][None, :], len(root)).min(axis=1))
+                    best[b] = np.minimum(best[b], np.where(link, root[a][:, None], len(root)).min(axis=0))
+                    if (best == root).all():
+                        break
+                    parent = np.arange(len(root))
+                    np.minimum.at(parent, root, best)
+                    while (parent[parent] != parent).any():
+                        parent = parent[parent]
+                    root = parent[root]
         at = np.flatnonzero(count > 0)
-        return pa.table({"node": node[at], "h1": table.column("h1").take(at), "h2": table.column("h2").take(at), "n": count[at].astype(np.int64), "label": label[at]})
+        return pa.table({"node": node[at], "h1": table.column("h1").take(at), "h2": table.column("h2").take(at), "n": count[at].astype(np.int64), "label": node[root[at]]})
 
     return judge
 
@@ -125,10 +171,14 @@ def near_duplicates(
     n = classes.count()
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(2 * math.sqrt(n))))
     pivots = _unit(_matrix(classes.select("embedding", "h1", "h2").orderBy("h1", "h2").limit(wanted).select("embedding").toArrow().column(0)))
+    pivots = thinned(pivots)
     described = written(permutations(classes, pivots, nearest), "permutations")
-    posted = described.withColumn("pivot", F.explode("pivots"))
+    shared = min(shared, len(pivots))
+    # The smallest of the shared pivots is never among a vector's last ones; few pivots are the same for all vectors.
+    first = nearest - shared + 1 if len(pivots) > nearest else 1
+    posted = described.withColumn("pivot", F.explode(F.slice(F.array_sort("pivots"), 1, first)))
     # At most one row per pivot.
-    blocks = {r.pivot: -(-r["count"] // block) for r in posted.groupBy("pivot").count().where(F.col("count") > block).collect()}
+    blocks = {r.pivot: min(-(-r["count"] // block), max(BLOCKS, -(-r["count"] // (block * LARGEST)))) for r in posted.groupBy("pivot").count().where(F.col("count") > block).collect()}
     table = spark.createDataFrame([*blocks.items()] or [(-1, 1)], "pivot int, blocks bigint")
     own = posted.join(F.broadcast(table), "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = own.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")))

@@ -169,6 +169,30 @@ def test_links_of_vectors(spark):
     assert vectors.near_duplicates(table.where("vec_id = 400")).count() == 1
 
 
+def test_links_of_a_dense_group_among_many_pivots(spark):
+    r = np.random.default_rng(7)
+    centre = r.normal(size=32)
+    v = [centre + r.normal(size=32) * 0.1 for _ in range(2000)] + [*r.normal(size=(1000, 32))]
+    unit = np.array(v)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    got = vectors.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>"), block=100)
+    rows = sorted(got.collect(), key=lambda x: x.vec_id)
+    assert [x.n_links for x in rows] == link.sum(1).tolist()
+    assert {x.component_id for x in rows[:2000]} == {0} and all(x.kept for x in rows[2000:])
+
+
+def test_pivots_keep_apart():
+    r = np.random.default_rng(8)
+    sample = vectors._unit(np.concatenate([r.normal(size=(600, 16)), 1 + 0.01 * r.normal(size=(600, 16))])[r.permutation(1200)])
+    kept = vectors.thinned(sample)
+    cosines = kept @ kept.T
+    np.fill_diagonal(cosines, -1)
+    assert cosines.max() < vectors.APART and (sample @ kept.T).max(axis=1).min() >= vectors.APART
+    assert kept[-1].sum() > 3.9
+
+
 # Models
 
 
