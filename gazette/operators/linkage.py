@@ -295,3 +295,20 @@ def dedupe_batch(candidates: DataFrame, order: str = "pos") -> DataFrame:
     return _first_hit(hits, candidates).select(
         "cand_id", F.col("listing_id").isNull().alias("keep"), F.col("listing_id").alias("duplicate_of"), "matched_by"
     )
+
+
+def match_earlier(candidates: DataFrame, batch: DataFrame, added: DataFrame, order: str = "pos") -> DataFrame:
+    """(cand_id, listing_id, matched_by) of the candidates that match a new listing of their batch from before them.
+
+    `added` holds the new listings (ids in batch order) with the `cand_id` of the
+    row of `batch` each was made from; no two share a key.
+    """
+    made = added.select(F.col("cand_id").alias("from"), F.col("id").alias("listing_id"))
+    ranks = batch.select("cand_id", F.col(order).alias("pos"))
+    keys = candidate_keys(batch.join(added.select("cand_id"), "cand_id", "left_semi")).withColumnRenamed("cand_id", "from")
+    exact = candidate_keys(candidates).join(keys.join(made, "from"), ["kind", "key"]).select("cand_id", "kind", "listing_id")
+    # The first overlapping title is the earliest: if it comes too late, so do the others.
+    overlap = amendment_matches(candidates, added).withColumn("kind", F.lit(BY_AMENDMENT)).select("cand_id", "kind", "listing_id")
+    places = made.join(ranks.withColumnsRenamed({"cand_id": "from", "pos": "held_pos"}), "from").drop("from")
+    hits = exact.unionByName(overlap).join(ranks, "cand_id").join(places, "listing_id").where(F.col("held_pos") < F.col("pos"))
+    return _first_hit(hits, candidates).where(F.col("listing_id").isNotNull())

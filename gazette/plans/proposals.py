@@ -52,6 +52,11 @@ def propose(
         }
     )
     decided = review.overlay_decisions(gated, decisions)
+    return _compared(decided, listings)
+
+
+def _compared(decided: DataFrame, listings: DataFrame) -> DataFrame:
+    """Adds `changes`; passing candidates that match a listing become updates or duplicates of it."""
     old = listings.select(F.col("id").alias("listing_id"), F.struct(*V.COMPARABLE_FIELDS).alias("old"))
     compared = decided.join(old, "listing_id", "left").withColumn(
         "changes", F.when(F.col("listing_id").isNotNull(), linkage.changed_fields())
@@ -73,6 +78,26 @@ def propose(
     return compared.withColumns({"action": action, "reason": reason}).drop("old")
 
 
+def settle_batch(planned: DataFrame, added: DataFrame, decisions: DataFrame, now: datetime | str, minimum: str = V.MIN_DRAFT_CONFIDENCE) -> DataFrame:
+    """The proposals that are not in `added`, the new listings of the batch with their `cand_id`, matched with these too.
+
+    A row matches a new listing that comes before it in the batch, amendments by
+    their title as well, and keeps its held listing unless the new one answers to
+    a stronger key.  Quality and decisions hold as for any matched row.
+    """
+    # Only these can change: quality or a decision turned the others away whatever they match.
+    orphan = F.col("is_corrigendum") & F.col("listing_id").isNull()
+    rows = planned.join(added.select("cand_id"), "cand_id", "left_anti")
+    open_rows = rows.where(orphan | F.col("action").isin("WOULD_ADD", "WOULD_UPDATE", "DUPLICATE"))
+    found = linkage.match_earlier(open_rows, planned, added).withColumnsRenamed({"listing_id": "_new", "matched_by": "_by"})
+    strength = lambda c: F.coalesce(F.nullif(F.array_position(F.lit(V.MATCH_KINDS), F.col(c)), F.lit(0)), F.lit(99))
+    joined = written(rows.join(found, "cand_id", "left").withColumn("_moves", strength("_by") < strength("matched_by")), "batch-matches")
+    moved = joined.where("_moves").withColumns({"listing_id": F.col("_new"), "matched_by": F.col("_by")})
+    judged = scoring.classify_quality(moved.drop("_new", "_by", "_moves", "decided", "changes"), now, minimum)
+    again = _compared(review.overlay_decisions(judged, decisions), added)
+    return joined.where(~F.col("_moves")).drop("_new", "_by", "_moves").unionByName(again)
+
+
 def plan_actions(
     candidates: DataFrame,
     listings: DataFrame,

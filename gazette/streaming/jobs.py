@@ -16,7 +16,11 @@ from gazette.scale import exists, in_order, job_folder, written
 
 
 def ingest_pages(pages: DataFrame, listings: DataFrame, sources: DataFrame, decisions: DataFrame, now: datetime | str, run_id: int) -> DataFrame:
-    """The next listing snapshot after one batch of crawled (page_id, source_id, url, html) pages."""
+    """The next listing snapshot after one batch of crawled (page_id, source_id, url, html) pages.
+
+    Rows of the batch that match a listing made from an earlier row of it, amendments
+    included, are folded into that listing.
+    """
     records = merge.with_candidate_columns(
         merge.ordered_union(extract.extract_jsonld(pages), extract.anchor_candidates(pages))
     )
@@ -27,9 +31,10 @@ def ingest_pages(pages: DataFrame, listings: DataFrame, sources: DataFrame, deci
     )
     fresh = planned.where(F.col("action") == "WOULD_ADD")
     keep = linkage.dedupe_batch(fresh).where("keep").select("cand_id")
-    added = snapshot.insert_new(fresh.join(keep, "cand_id", "left_semi"), listings, now, run_id).drop("cand_id")
-    updated = snapshot.upsert(listings, planned, now, run_id)
-    return updated.unionByName(added, allowMissingColumns=True)
+    added = written(snapshot.insert_new(fresh.join(keep, "cand_id", "left_semi"), listings, now, run_id), "added")
+    settled = proposals.settle_batch(planned, added, decisions, now)
+    held = snapshot.with_automation_columns(listings).unionByName(added.drop("cand_id"), allowMissingColumns=True)
+    return snapshot.upsert(held, settled, now, run_id)
 
 
 def stream_ingest(

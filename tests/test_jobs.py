@@ -306,3 +306,22 @@ def test_pages_stream_into_snapshots(spark, listings, sources):
     titles = [r["title"] for r in load().collect()]
     assert newest["n"] == 2 and len(titles) == 3 and sorted(t.split()[-1] for t in titles)[-1] == "Wardens"
     assert [sum(word in t for t in titles) for word in ("Pilots", "Keepers")] == [1, 1]
+
+
+def test_rows_of_a_batch_meet_its_new_listings(spark, listings, sources):
+    card = '<article><h3>{title}</h3><p>{number}</p><p>LAST DATE TO APPLY: {last}</p><a href="/f/{file}.pdf">DOWNLOAD ADVERTISEMENT</a></article>'
+    cards = [
+        {"title": "Recruitment of Pilots Grade II in Harbour", "number": "ADVERTISEMENT NO: HB/1/2031", "last": "19-04-2031", "file": 1},
+        # The same document without its number, with a later date.
+        {"title": "Recruitment of Pilots Grade II in Harbour", "number": "", "last": "25-04-2031", "file": 1},
+        # An amendment of a notice that comes after it, the notice, and an amendment that follows its notice.
+        {"title": "Corrigendum: Recruitment of Senior Keepers Lighthouse", "number": "ADVERTISEMENT NO: HB/8/2031", "last": "30-05-2031", "file": 8},
+        {"title": "Recruitment of Senior Keepers Lighthouse", "number": "ADVERTISEMENT NO: HB/2/2031", "last": "19-05-2031", "file": 2},
+        {"title": "Corrigendum: Recruitment of Pilots Grade II in Harbour", "number": "ADVERTISEMENT NO: HB/9/2031", "last": "30-04-2031", "file": 9},
+    ]
+    pages = spark.createDataFrame([(i, 1, "https://example.gov.in/jobs", card.format(**c)) for i, c in enumerate(cards)], "page_id bigint, source_id bigint, url string, html string")
+    none = spark.createDataFrame([], "source_id bigint, candidate_key string, snapshot_hash string, decision string, reason string")
+    held = listings({"id": 1, "title": "Recruitment of Wardens"})
+    result = lambda rows: sorted((r["id"], r["last_date"] and str(r["last_date"].date()), (r["notification_link"] or "")[-5:]) for r in rows.collect())
+    got = result(jobs.ingest_pages(pages, held, sources({}), none, NOW, 7))
+    assert got == [(1, None, ""), (2, "2031-04-30", "9.pdf"), (3, "2031-05-19", "2.pdf")]
