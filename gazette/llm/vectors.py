@@ -7,7 +7,8 @@ cosine in double precision; a pair is judged only in the list of the smallest
 pivot it shares, so none is counted twice. Pivots keep a least angle from one
 another, so a dense group shares its few pivots and is judged whole. Long lists
 are cut into blocks, and pairs of blocks are separate work; tasks hand back counts
-and local components, never pairs. Equal vectors are one entry with a count.
+and local components, never pairs. Equal vectors are one entry with a count. Every
+length has pivots of its own; lengths of no more vectors than a block are one list.
 """
 
 from __future__ import annotations
@@ -52,18 +53,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def permutations(vectors: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """Every row with `pivots`, the numbers of its nearest pivots, nearest first."""
+def permutations(vectors: DataFrame, pivots: dict[int, tuple[int, np.ndarray]], nearest: int) -> DataFrame:
+    """Every row with `pivots`, the numbers of its nearest pivots, nearest first.
+
+    `pivots` holds, per length, the number of the first pivot and the pivots. A
+    length without pivots has one list, numbered by the length below zero.
+    """
     keep = vectors.columns
 
+    def described(column: pa.Array, k: int) -> list[np.ndarray]:
+        first, own = pivots.get(k, (-k, None))
+        if own is None:
+            return [np.array([-k], np.int32)] * len(column)
+        return [*(np.argsort(-(_unit(_matrix(column)) @ own.T), axis=1, kind="stable")[:, :nearest] + first).astype(np.int32)]
+
     def run(batches):
         for batch in batches:
-            out = np.empty((batch.num_rows, min(nearest, len(pivots))), np.int32)
-            column = batch.column(keep.index("embedding"))
-            for a in range(0, batch.num_rows, 1024):
-                near = _unit(_matrix(column.slice(a, 1024))) @ pivots.T
-                out[a : a + 1024] = np.argsort(-near, axis=1, kind="stable")[:, :nearest]
-            lists = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * out.shape[1], pa.array(out.ravel()))
+            out = [None] * batch.num_rows
+            column, lengths = batch.column(keep.index("embedding")), batch.column(keep.index("k")).to_numpy()
+            for k in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == k)
+                for a in range(0, len(at), 1024):
+                    for i, near in zip(at[a : a + 1024], described(column.take(pa.array(at[a : a + 1024])), k), strict=True):
+                        out[i] = near
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*keep, "pivots"])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -112,6 +126,8 @@ def _links(threshold: float, shared: int):
                     np.fill_diagonal(link, False)
                 if not link.any():
                     continue
+                # Where there are few pivots, all vectors of the length have the same ones.
+                least = min(shared, held.shape[1])
                 known = np.intersect1d(held[a], held[b])
                 has = []
                 for rows in (held[a], held[b]):
@@ -120,7 +136,7 @@ def _links(threshold: float, shared: int):
                     at, nth = np.nonzero(known[place] == rows)
                     has[-1][at, place[at, nth]] = 1
                 lower = known < pivot
-                link &= (has[0] @ has[1].T >= shared) & (has[0][:, lower] @ has[1][:, lower].T == 0)
+                link &= (has[0] @ has[1].T >= least) & (has[0][:, lower] @ has[1][:, lower].T == 0)
                 count[a] += link @ size[b]
                 if a is not b:
                     count[b] += link.T @ size[a]
@@ -136,7 +152,7 @@ def _links(threshold: float, shared: int):
                         parent = parent[parent]
                     root = parent[root]
         at = np.flatnonzero(count > 0)
-        return pa.table({"node": node[at], "h1": table.column("h1").take(at), "h2": table.column("h2").take(at), "n": count[at].astype(np.int64), "label": node[root[at]]})
+        return pa.table({"node": node[at], "h1": table.column("h1").take(at), "h2": table.column("h2").take(at), "k": table.column("k").take(at), "n": count[at].astype(np.int64), "label": node[root[at]]})
 
     return judge
 
@@ -149,48 +165,49 @@ def near_duplicates(
 
     Links join vectors of cosine `threshold` or more that share enough pivots;
     equal vectors are always linked. Null vectors, those with null or non-finite
-    components, zero and empty ones, and those of another length than most, link
-    with nothing and are components of their own. A row without an id links with
+    components, zero and empty ones link with nothing and are components of their
+    own; vectors of different lengths are never linked. A row without an id links with
     nothing and has a null component. Repeated rows are separate vectors linked
     with each other. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).alias("embedding"))
-    # One length is comparable: the commonest, the smaller of equally common ones.
-    fit = rows.where(F.col("vec_id").isNotNull() & usable("embedding"))
-    lengths = fit.groupBy(F.size("embedding").alias("k")).count().orderBy(F.desc("count"), "k").first()
-    if lengths is None:
-        alone = F.lit(0).cast("bigint")
-        return rows.select("vec_id", alone.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    linkable = F.col("vec_id").isNotNull() & usable("embedding") & (F.size("embedding") == lengths.k)
-    keyed = rows.withColumn("h1", F.when(linkable, F.xxhash64("embedding"))).withColumn("h2", F.when(linkable, F.hash("embedding")))
+    linkable = F.col("vec_id").isNotNull() & usable("embedding")
+    keyed = (
+        rows.withColumn("h1", F.when(linkable, F.xxhash64("embedding"))).withColumn("h2", F.when(linkable, F.hash("embedding")))
+        .withColumn("k", F.when(linkable, F.size("embedding")))
+    )
     classes = written(
-        keyed.where(F.col("h1").isNotNull()).groupBy("h1", "h2")
+        keyed.where(F.col("h1").isNotNull()).groupBy("h1", "h2", "k")
         .agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding")), "vectors",
     )
-    n = classes.count()
-    wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(2 * math.sqrt(n))))
-    pivots = _unit(_matrix(classes.select("embedding", "h1", "h2").orderBy("h1", "h2").limit(wanted).select("embedding").toArrow().column(0)))
-    pivots = thinned(pivots)
+    # Lengths of more vectors than a block have pivots; these are few.
+    pivots, numbered = {}, 0
+    for k, n in classes.groupBy("k").count().where(F.col("count") > block).orderBy("k").collect():
+        wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(2 * math.sqrt(n))))
+        sample = classes.where(F.col("k") == k).select("embedding", "h1", "h2").orderBy("h1", "h2").limit(wanted).select("embedding")
+        pivots[k] = numbered, thinned(_unit(_matrix(sample.toArrow().column(0))))
+        numbered += len(pivots[k][1])
     described = written(permutations(classes, pivots, nearest), "permutations")
-    shared = min(shared, len(pivots))
-    # The smallest of the shared pivots is never among a vector's last ones; few pivots are the same for all vectors.
-    first = nearest - shared + 1 if len(pivots) > nearest else 1
-    posted = described.withColumn("pivot", F.explode(F.slice(F.array_sort("pivots"), 1, first)))
+    # The smallest of the shared pivots is never among a vector's last ones; few pivots are the same for all vectors of a length.
+    few = F.lit(1)
+    for k, (_, own) in pivots.items():
+        few = F.when(F.col("k") == k, F.lit(nearest - shared + 1 if len(own) > nearest else 1)).otherwise(few)
+    posted = described.withColumn("pivot", F.explode(F.slice(F.array_sort("pivots"), F.lit(1), few)))
     # At most one row per pivot.
     blocks = {r.pivot: min(-(-r["count"] // block), max(BLOCKS, -(-r["count"] // (block * LARGEST)))) for r in posted.groupBy("pivot").count().where(F.col("count") > block).collect()}
-    table = spark.createDataFrame([*blocks.items()] or [(-1, 1)], "pivot int, blocks bigint")
+    table = spark.createDataFrame([*blocks.items()] or [(0, 1)], "pivot int, blocks bigint")
     own = posted.join(F.broadcast(table), "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = own.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")))
     units = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     units = units.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-    work = units.select("pivot", "left", "right", "block", "node", "h1", "h2", "size", "embedding", "pivots").groupBy("pivot", "left", "right")
-    found = written(work.applyInArrow(_links(threshold, shared), "node bigint, h1 bigint, h2 int, n bigint, label bigint"), "vector-links")
+    work = units.select("pivot", "left", "right", "block", "node", "h1", "h2", "k", "size", "embedding", "pivots").groupBy("pivot", "left", "right")
+    found = written(work.applyInArrow(_links(threshold, shared), "node bigint, h1 bigint, h2 int, k int, n bigint, label bigint"), "vector-links")
     groups = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    counted = found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-    result = classes.select("h1", "h2", "node", "size").join(counted, ["h1", "h2"], "left").join(groups, "node", "left")
-    result = result.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = keyed.select("vec_id", "h1", "h2").join(result, ["h1", "h2"], "left")
+    counted = found.groupBy("h1", "h2", "k").agg(F.sum("n").alias("n"))
+    result = classes.select("h1", "h2", "k", "node", "size").join(counted, ["h1", "h2", "k"], "left").join(groups, "node", "left")
+    result = result.select("h1", "h2", "k", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    out = keyed.select("vec_id", "h1", "h2", "k").join(result, ["h1", "h2", "k"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),

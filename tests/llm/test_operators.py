@@ -183,6 +183,20 @@ def test_links_of_a_dense_group_among_many_pivots(spark):
     assert {x.component_id for x in rows[:2000]} == {0} and all(x.kept for x in rows[2000:])
 
 
+def test_vectors_of_every_length_are_linked(spark):
+    r = np.random.default_rng(9)
+    v = [(r.normal(size=6) + 5 * (i % 2)).tolist() for i in range(120)] + [[float(i % 3 == j) for j in range(3)] for i in range(9)] + [[2.0] * 4, [3.0] * 4, [1.0]]
+    got = vectors.near_duplicates(spark.createDataFrame(list(enumerate(v)), "vec_id bigint, embedding array<double>"), block=50).collect()
+    want = []
+    for x in v:
+        near = [np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95 for y in v if len(y) == len(x)]
+        want.append(sum(near) - 1)
+    found = sorted((x.vec_id, x.n_links, x.component_id) for x in got)
+    assert [n for _, n, _ in found[120:]] == want[120:] == [2] * 9 + [1, 1, 0] and [c for _, _, c in found[120:]] == [120, 121, 122] * 3 + [129, 129, 131]
+    linked = sum(n for _, n, _ in found[:120])
+    assert all(a[1] <= b for a, b in zip(found, want, strict=True)) and linked >= 0.9 * sum(want[:120])
+
+
 def test_pivots_keep_apart():
     r = np.random.default_rng(8)
     sample = vectors._unit(np.concatenate([r.normal(size=(600, 16)), 1 + 0.01 * r.normal(size=(600, 16))])[r.permutation(1200)])
