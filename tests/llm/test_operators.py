@@ -386,4 +386,4 @@ def test_the_queries_carry_the_columns_asked_for(spark):
     sf = "/root/testdata/sf0.001"
     got = QUERIES["op9_decontamination"](spark, sf)
     assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] and got.count() == 200
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) and len(QUERIES) == 11
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) and len(QUERIES) == 13
