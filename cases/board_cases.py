@@ -380,8 +380,8 @@ def _backup(t: Tables):
     u AS MATERIALIZED (SELECT new_id AS id, arg_max(title, id) AS title, arg_max(status, id) AS status, max_by(struct_pack(v := last_date), id).v AS last_date, arg_min(status, id) AS first_status FROM i WHERE new_id > 0 GROUP BY new_id),
     top AS (SELECT greatest((SELECT max(id) FROM listings), (SELECT max(id) FROM u)) AS t)
     SELECT coalesce(l.id, u.id) AS id, coalesce(u.title, l.title) AS title, coalesce(u.status, l.status) AS status, CASE WHEN u.id IS NULL THEN l.expires_at ELSE u.last_date END AS expires_at,
-      CASE WHEN l.id IS NOT NULL THEN l.published_at WHEN first_status = 'PUBLISHED' THEN {_NOW} END AS published_at, CASE WHEN u.id IS NULL THEN l.review_status ELSE 'MANUAL_VERIFIED' END AS review_status FROM listings l FULL JOIN u ON l.id = u.id
-    UNION ALL SELECT (SELECT t FROM top) + row_number() OVER (ORDER BY id), title, status, last_date, CASE WHEN status = 'PUBLISHED' THEN {_NOW} END, 'MANUAL_VERIFIED' FROM i WHERE new_id IS NULL""",
+      CASE WHEN l.id IS NOT NULL THEN l.published_at WHEN first_status = 'PUBLISHED' THEN {_NOW} END AS published_at, CASE WHEN u.id IS NULL THEN l.review_status ELSE 'MANUAL_VERIFIED' END AS review_status, CASE WHEN u.id IS NULL THEN l.updated_at ELSE {_NOW} END AS updated_at FROM listings l FULL JOIN u ON l.id = u.id
+    UNION ALL SELECT (SELECT t FROM top) + row_number() OVER (ORDER BY id), title, status, last_date, CASE WHEN status = 'PUBLISHED' THEN {_NOW} END, 'MANUAL_VERIFIED', {_NOW} FROM i WHERE new_id IS NULL""",
     L,
 )
 def _(t: Tables):
