@@ -138,9 +138,12 @@ def mark(
     Items go to the tasks in blocks of `block_bytes`; with more than one block
     the documents are passed once per block, keeping the runs found so far.
     """
-    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_runs", "hit_items", "_runs", "_items"]
-    columns = without([c for c in docs.columns if keep_text or c != text], added)
-    docs = docs.select(*columns, *([] if keep_text else [text]))
+    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_runs"]
+    names = without([c for c in docs.columns if keep_text or c != text], added)
+    # Columns of the table may carry any name, so they are numbered meanwhile.
+    columns = [f"_c{i}" for i in range(len(names))]
+    docs = docs.select(*(F.col(f"`{n}`").alias(c) for n, c in zip(names, columns, strict=True)), *([] if text in names else [F.col(f"`{text}`").alias("_text")]))
+    text = columns[names.index(text)] if text in names else "_text"
     state = "hit_runs array<struct<begin:bigint,end:bigint>>, " + _FOUND + ", n_words bigint"
     out = docs
     for number, (n, rows) in enumerate(_blocks(items, item_id, item_text, block_bytes)):
@@ -153,7 +156,7 @@ def mark(
             out = out.withColumn("hit_runs", F.concat("_runs", "hit_runs")).withColumn("hit_items", F.concat("_items", "hit_items")).drop("_runs", "_items")
         if n > 1:
             out = written(out, "marked")
-    return _digest(out, columns, n > 1)
+    return _digest(out, columns, n > 1).withColumnsRenamed(dict(zip(columns, names, strict=True)))
 
 
 def _finder(windows: _Windows):

@@ -1,8 +1,9 @@
 """Token ids in grammar-compressed binary shards.
 
 Every shard is compressed by Re-Pair: the frequent neighbour pairs of symbols
-are replaced by new symbols (nonterminals), again and again, until no pair is
-frequent or the symbol space is used up. Pairs never reach over the end of a
+are replaced by new symbols (nonterminals), again and again, until no pair has
+`LEAST_USES` uses or the symbol space is used up: 2^16 symbols of two bytes where
+they leave `LEAST_ROOM` beside the vocabulary, else 2^24 of three. Pairs never reach over the end of a
 document. A round replaces the most frequent pairs together, left to right, so
 a shard takes a few passes over its ids. The file keeps the rules, the length
 each symbol expands to, and where each document begins, both in symbols and in
@@ -30,9 +31,10 @@ MAGIC = b"RPGRAM01"
 END_ID = 0
 #: Ids of one file; a longer document makes a file of its own.
 SHARD_IDS = 1 << 22
-SYMBOLS = 1 << 16
-ROUNDS = 8
+#: Bytes of a symbol that are tried, and rules that must fit beside the vocabulary.
+WIDTHS, LEAST_ROOM = (2, 3, 4), 1 << 12
 PAIRS_A_ROUND = 2500
+#: A pair of fewer uses saves hardly more than its rule takes.
 LEAST_USES = 16
 _BITS = 20
 
@@ -57,14 +59,16 @@ def _frequent(left: np.ndarray, right: np.ndarray, ok: np.ndarray, most: int) ->
     return out, distinct[best]
 
 
+def symbol_bytes(terminals: int) -> int:
+    """Bytes of a symbol in files over a vocabulary of `terminals` ids."""
+    return next(w for w in WIDTHS if terminals + LEAST_ROOM <= 1 << 8 * w)
+
+
 def compress(ids: np.ndarray, first: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, where documents begin among them (n + 1 values), and the rules as (left, right) rows."""
     symbols, starts, rules = ids.astype(np.int64), first.astype(np.int64), []
-    known = 0
-    for _ in range(ROUNDS):
-        room = min(PAIRS_A_ROUND, SYMBOLS - terminals - known)
-        if room <= 0 or len(symbols) < 2:
-            break
+    known, space = 0, 1 << 8 * symbol_bytes(terminals)
+    while len(symbols) > 1 and (room := min(PAIRS_A_ROUND, space - terminals - known)) > 0:
         ok = np.ones(len(symbols) - 1, bool)
         ends = starts[1:] - 1
         ok[ends[(ends >= 0) & (ends < len(ok))]] = False
@@ -97,12 +101,12 @@ def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
 def encode_shard(doc_ids: list, ids: np.ndarray, first: np.ndarray, terminals: int) -> bytes:
     """One file of documents in the order given."""
     symbols, starts, rules = compress(ids, first, terminals)
-    wide = np.dtype("<u2" if terminals + len(rules) <= 1 << 16 else "<u4")
+    width = symbol_bytes(terminals)
     missing = np.array([d is None for d in doc_ids], np.uint8)
     return b"".join([
-        MAGIC, np.array([len(doc_ids), terminals, len(rules), len(symbols), wide.itemsize], "<u8").tobytes(),
+        MAGIC, np.array([len(doc_ids), terminals, len(rules), len(symbols), width], "<u8").tobytes(),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), missing.tobytes(), starts.astype("<u8").tobytes(), first.astype("<u8").tobytes(),
-        rules.astype("<u4").tobytes(), expansion_lengths(rules, terminals).astype("<u4").tobytes(), symbols.astype(wide).tobytes(),
+        rules.astype("<u4").tobytes(), expansion_lengths(rules, terminals).astype("<u4").tobytes(), symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes(),
     ])
 
 
@@ -141,7 +145,9 @@ class Shard:
         self.flat = flat
 
     def _symbols(self, a: int, b: int) -> np.ndarray:
-        return np.frombuffer(self.reader.read(self.symbols_at + a * self.width, (b - a) * self.width), f"<u{self.width}").astype(np.int64)
+        wide = np.zeros((b - a, 4), np.uint8)
+        wide[:, : self.width] = np.frombuffer(self.reader.read(self.symbols_at + a * self.width, (b - a) * self.width), np.uint8).reshape(-1, self.width)
+        return wide.view("<u4").ravel().astype(np.int64)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         sizes = self.lengths[symbols]

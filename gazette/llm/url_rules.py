@@ -1,7 +1,8 @@
 """URL filter: a bit-parallel automaton over all glob rules at once.
 
-Every rule is a glob over the canonical URL `.host NUL path`: `*` stands for
-any bytes inside the host or inside the path, `**` for any bytes at all. The
+Every rule is a glob over the canonical URL, `.host`, a byte 0xFF that no text
+holds, and the path: `*` stands for any bytes inside the host or inside the path,
+`**` for any bytes at all. The
 states of all globs lie side by side in 64-bit words. One Shift-And step per
 byte moves every state of every glob for a whole block of URLs: shift, mask by
 the byte's table, and keep the states that a wildcard lets stand.
@@ -17,7 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gazette.llm.words import buffer_of, row_chunks, without
 
-SEPARATOR = "\0"
+#: Between host and path: in globs the character that stands for the byte 0xFF, which UTF-8 never uses.
+SEPARATOR, _BETWEEN = "\udcff", 0xFF
 _COLUMNS = "host string, path string, rule string, verdict string, matched_glob string"
 
 
@@ -75,14 +77,14 @@ class Automaton:
             if stays[state]:
                 self.stay[:, word] |= bit
                 if stays[state] == "*":
-                    self.stay[ord(SEPARATOR), word] &= ~bit
+                    self.stay[_BETWEEN, word] &= ~bit
         for state in first:
             self.start[state // 64] |= np.uint64(1 << state % 64)
         self.last = np.array(last, np.int64)
 
     @staticmethod
     def _signs(glob: str):
-        data, i = glob.encode(), 0
+        data, i = glob.encode("utf-8", "surrogateescape"), 0
         while i < len(data):
             if data[i] == ord("*"):
                 wide = data[i : i + 2] == b"**"
@@ -136,7 +138,7 @@ def judge(pages: DataFrame, url: str = "url", host_rules: tuple[Rule, ...] = HOS
     automaton = Automaton([r.glob for r in rules])
     shown, verdicts, names = [r.shown for r in rules], [r.verdict for r in rules], [r.glob.replace(SEPARATOR, " ") for r in rules]
     others = without([c for c in pages.columns if c != url], ["host", "path", "rule", "verdict", "matched_glob"])
-    table = pages.select(*others, host.alias("host"), path.alias("path"), F.encode(F.concat(F.lit("."), host, F.lit(SEPARATOR), path), "UTF-8").alias("_canonical"))
+    table = pages.select(*others, host.alias("host"), path.alias("path"), F.concat(F.encode(F.concat(F.lit("."), host), "UTF-8"), F.lit(bytes([_BETWEEN])), F.encode(path, "UTF-8")).alias("_canonical"))
 
     def run(batches):
         for batch in batches:

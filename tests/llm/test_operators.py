@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gazette.llm import components, decontaminate, grammar, near_duplicates, packing, prefix_counts, quality, toxicity, url_rules, vectors, warc
@@ -54,12 +55,13 @@ def test_marks_agree_with_brute_force(spark, block_bytes):
         (1, " ".join(words(30, 3) + a[3:15] + words(5, 4))), (2, "X " + " ".join(b).upper() + " y " + " ".join(a[:10])), (3, " ".join(a[:9])),
         (4, "a SHORT, item. and short item"), (5, "an unnamed one"), *EDGES[:5],
     ]
-    docs = docs_of(spark, rows).withColumnRenamed("source", "n_hit")  # a clashing name
+    docs = docs_of(spark, rows).withColumnRenamed("source", "n_hit").withColumns({c: F.lit("own") for c in ("_runs", "_items", "hit_items", "_text", "a.b")})  # clashing names
     got = decontaminate.mark(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(
         (i is None, i or 0, *brute_marks(t, items)) for i, t in rows
     )
-    assert got[0].asDict().keys() >= {"lang", "n_chars", "text"} and all(sum(x.end - x.begin for x in r.hit_runs) == r.n_hit for r in got)
+    assert [*got[0].asDict()] == ["doc_id", "text", "lang", "n_chars", "_runs", "_items", "hit_items", "_text", "a.b", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_runs"]
+    assert {got[0][c] for c in ("_runs", "_items", "hit_items", "_text", "a.b")} == {"own"} and all(sum(x.end - x.begin for x in r.hit_runs) == r.n_hit for r in got)
 
 
 def test_marks_of_empty_tables(spark):
@@ -273,16 +275,19 @@ def test_urls_follow_the_rules(spark):
     urls = [
         None, "", "nothing", "http://", "http://a.net", "http://a.net/", "http://NET/x", "http://example.net/en/1?q#f", "https://m.Example.NET/en/", "http://example.net/e",
         "http://bad-example.net/en/", "http://x.example.com/de/a", "http://example.com/fr/", "http://a.org/fr/b", "http://org/fr", "http://a.net:80/x", "ftp://u@a.net/x?y",
-        "http://host.com/x.net/y", "a://b://c.net/d", "http://ünï.net/é", "http://x.com/setup.exe", "http://x.com/" + "a" * 5000, "http://h.com\0.net/x",
+        "http://host.com/x.net/y", "a://b://c.net/d", "http://ünï.net/é", "http://x.com/setup.exe", "http://x.com/" + "a" * 5000, "http://h.com\0.net/x", "http://a.org\0/fr/b", "http://a.net/", "http://a.net/",
     ]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id bigint, url string, rule string")
     for r in url_rules.judge(pages).collect():
         host, path, best = brute_rule(urls[r.page_id])
-        assert (r.host, r.path) == (host, path), urls[r.page_id]
-        if "\0" not in host:
-            assert r.rule == (best and best[0]), urls[r.page_id]
-        assert r.verdict in ("allow", "block") and (best is None or r.verdict == best[1] or "\0" in host)
+        assert (r.host, r.path, r.rule) == (host, path, best and best[0]), urls[r.page_id]
+        assert r.verdict in ("allow", "block") and (best is None or r.verdict == best[1])
     assert url_rules.judge(pages.limit(0)).count() == 0
+    # Of equally long rules the first decides, of equally long globs the last.
+    ties = (url_rules.host_rule("a.net/", "allow"), url_rules.host_rule("b.net/", "block"), url_rules.Rule(f"*.a.*{url_rules.SEPARATOR}/**", "block", "b.com/"))
+    globs = (url_rules.Rule(f"*{url_rules.SEPARATOR}**xx", "allow"), url_rules.Rule(f"*{url_rules.SEPARATOR}xx**", "block"))
+    table = spark.createDataFrame([(1, "http://a.net/"), (2, "http://c.fr/xx"), (3, "http://c.fr/xx"), (4, "http://c.frxx/xx")], "page_id bigint, url string")
+    assert [r.verdict for r in url_rules.judge(table, host_rules=ties, globs=globs).orderBy("page_id").collect()] == ["allow"] * 4
 
 
 # Files and tokens

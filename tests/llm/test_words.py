@@ -171,6 +171,26 @@ def test_grammar_round_trip_and_random_access(seed):
         assert (shard.document(i, a, b) == docs[i][a:b]).all()
 
 
+@pytest.mark.parametrize("terminals", [65_536, 100_000])
+def test_large_vocabularies_are_compressed_until_no_pair_is_frequent(terminals):
+    r = np.random.default_rng(terminals)
+    phrases = [r.integers(1, terminals, 12) for _ in range(300)]
+    docs = [np.concatenate([phrases[j] for j in r.integers(0, 300, 20)] + [[0]]).astype(np.uint32) for _ in range(400)]
+    ids, first = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    symbols, starts, _ = grammar.compress(ids, first, terminals)
+    assert len(symbols) < len(ids) / 6
+    inside = np.ones(len(symbols), bool)
+    inside[starts[1:] - 1] = False
+    pairs = np.stack([symbols[:-1], symbols[1:]], axis=1)[inside[:-1]]
+    # Overlapping uses of a pair of equal symbols count once, so only pairs of different ones are bounded.
+    uses = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0, return_counts=True)[1]
+    assert uses.max() < grammar.LEAST_USES
+    data = grammar.encode_shard([*range(len(docs))], ids, first, terminals)
+    assert len(data) < 1.2 * len(ids)
+    shard = grammar.Shard(Bytes(data))
+    assert all((got == docs[i]).all() for i, got in shard.documents(least_symbols=500)) and (shard.document(7, 30, 50) == docs[7][30:50]).all()
+
+
 def test_grammar_rules_stay_inside_documents():
     ids = np.array([5, 6, 0] * 200, np.uint32)
     first = np.arange(0, 601, 3)
@@ -209,6 +229,6 @@ def test_the_automaton_agrees_with_regular_expressions():
         signs = re.findall(r"\*\*|\*|[^*]", glob)
         return re.compile("".join({"*": f"[^{url_rules.SEPARATOR}]*", "**": ".*"}.get(s, re.escape(s)) for s in signs), re.S)
 
-    fits = url_rules.Automaton(globs).run(*words.buffer_of(pa.array(texts)))
+    fits = url_rules.Automaton(globs).run(*words.buffer_of(pa.array([t.encode("utf-8", "surrogateescape") for t in texts], pa.binary())))
     for i, text in enumerate(texts):
         assert fits[i].tolist() == [bool(pattern(g).fullmatch(text)) for g in globs], text
