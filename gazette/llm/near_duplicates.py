@@ -7,7 +7,10 @@ shingles; two texts agree in a sample with the probability of their weighted
 Jaccard similarity. Texts that agree in a band of four samples meet in a
 bucket. In the tasks the pairs of a bucket are verified by their true weighted
 Jaccard similarity, except pairs that are already connected, and only a
-spanning set of links leaves the task. Texts of equal words are one entry.
+spanning set of links leaves the task. A large bucket is cut into blocks that all
+get the same few representatives: texts connected with one another over a
+representative need no more comparing, so only those left over meet the other
+blocks. Texts of equal words, by two 64-bit hashes, are one entry.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from gazette.scale import written
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 SLOT_BITS = 18
-#: Texts of a bucket that are compared with one another in one piece of work.
-BLOCK = 256
+#: Texts of a bucket that are compared with one another in one piece of work, and representatives that every block of a large bucket gets.
+BLOCK, REPRESENTATIVES = 256, 8
 #: Texts a task remembers to hand on equal ones once.
 SEEN = 1_000_000
 
@@ -194,16 +197,18 @@ def _linked(features: list[np.ndarray], weights: list[np.ndarray], block: np.nda
     shared = np.zeros((m, m))
     for low in range(0, len(often), 4096):
         a, b = np.searchsorted(col, [low, low + 4096])
-        dense = np.zeros((m, min(4096, len(often) - low)), np.float32)
+        dense = np.zeros((m, min(4096, len(often) - low)))
         dense[own[a:b], col[a:b] - low] = root[a:b]
         shared += dense @ dense.T
-    link = shared >= threshold * (total[:, None] + total[None, :] - shared) - 1e-4
+    whole = total[:, None] + total[None, :]
+    over = shared - threshold * (whole - shared)
+    # Sums of products err by far less than this share of the weights; pairs so close to the threshold are summed as small pieces of work are.
+    link = over >= -1e-6 * whole
     if cross:
         link &= block[:, None] != block[None, :]
     for i, j in zip(*np.nonzero(np.triu(link, 1)), strict=True):
         if find(i) != find(j):
-            # Close to the threshold the sums of the blocks may err: those pairs are judged in double precision.
-            if abs(shared[i, j] - threshold * (total[i] + total[j] - shared[i, j])) < 1e-2:
+            if over[i, j] <= 1e-6 * whole[i, j]:
                 _, place, _ = np.intersect1d(features[i], features[j], assume_unique=True, return_indices=True)
                 exact = weights[i][place].sum()
                 if exact < threshold * (total[i] + total[j] - exact) - 1e-9:
@@ -212,8 +217,15 @@ def _linked(features: list[np.ndarray], weights: list[np.ndarray], block: np.nda
     return np.array([find(i) for i in range(m)])
 
 
+_FOUND = "key bigint, k1 bigint, k2 bigint, r1 bigint, r2 bigint, link boolean"
+
+
 def _verify(rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Spanning links (a, b) of every piece of work; rows (key, left, right, block, node, text) come sorted by the work."""
+    """Spanning links of every piece of work; rows (key, left, right, block, k1, k2, text) come sorted by the work.
+
+    Where a piece holds representatives (block -1), every other text of it also
+    gives a row without `link`: the first representative it is connected with, or nulls.
+    """
 
     def run(batches):
         pending: list[pa.RecordBatch] = []
@@ -232,12 +244,13 @@ def _verify(rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     def judge(table):
         keys = np.stack([table.column(c).to_numpy() for c in ("key", "left", "right")])
         edges = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
-        nodes, blocks = table.column("node").to_numpy(), table.column("block").to_numpy()
+        k1, k2, blocks = (table.column(c).to_numpy() for c in ("k1", "k2", "block"))
         data, offsets = buffer_of(table.column("text"))
         features: list = []
         weights: list = []
         done = 0
-        a_side, b_side = [], []
+        # Rows as positions: (of the text, of its root or representative or -1, whether a link).
+        told: list[tuple[np.ndarray, np.ndarray, bool]] = []
         for a, b in row_chunks(offsets):
             values, counts, mean, first, _ = weighted(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], idf)
             for i in range(b - a):
@@ -249,13 +262,24 @@ def _verify(rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
                 low, high = int(edges[done]), int(edges[done + 1])
                 found = _linked(features[low:high], weights[low:high], blocks[low:high], bool(keys[1, low] != keys[2, low]), threshold)
                 moved = np.flatnonzero(found != np.arange(high - low))
-                a_side.append(nodes[low:high][moved])
-                b_side.append(nodes[low:high][found[moved]])
+                told.append((low + moved, low + found[moved], True))
+                stands = blocks[low:high] < 0
+                if stands.any():
+                    first_of = np.full(high - low, -1)
+                    at = np.flatnonzero(stands)[::-1]
+                    first_of[found[at]] = at
+                    others = np.flatnonzero(~stands)
+                    label = first_of[found[others]]
+                    told.append((low + others, np.where(label < 0, -1, low + label), False))
                 features[low:high] = weights[low:high] = [None] * (high - low)
                 done += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_side)), pa.array(np.concatenate(b_side))], names=["a", "b"])
+        own, to = (np.concatenate([t[i] for t in told]).astype(np.int64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[0][own]), pa.array(k1[own]), pa.array(k2[own]), pa.array(k1[to], mask=to < 0), pa.array(k2[to], mask=to < 0), pa.array(np.concatenate([np.full(len(t[0]), t[2]) for t in told]))],
+            names=["key", "k1", "k2", "r1", "r2", "link"],
+        )
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, _FOUND)
 
 
 def _once_a_task(docs: DataFrame, keep: list[str], idf: np.ndarray, by_id: bool) -> DataFrame:
@@ -283,36 +307,72 @@ def _once_a_task(docs: DataFrame, keep: list[str], idf: np.ndarray, by_id: bool)
     return docs.select(*keep).mapInArrow(run, StructType([*(docs.schema[c] for c in keep), StructField("_k1", LongType()), StructField("_k2", LongType())]))
 
 
-def _work(buckets: DataFrame, block: int) -> DataFrame:
-    """Every text of a bucket in each piece of work it belongs to: its own block, or two blocks of a large bucket."""
-    n = F.ceil(F.col("n") / block)
-    own = buckets.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    return own.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node")
+def _first_work(buckets: DataFrame, block: int) -> DataFrame:
+    """(key, left, right, block, k1, k2): every text of a bucket (key, n, k1, k2) once, in a block, and the representatives of a large bucket in all its blocks."""
+    place = F.xxhash64("k1", "k2", "key")
+    own = buckets.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("block", F.pmod(place, F.col("blocks")))
+    large = own.where("blocks > 1")
+    # One representative per remainder of the hash: as many groups as representatives share a hot bucket's rows.
+    stand = large.groupBy("key", F.pmod(F.hash("k2", "k1"), F.lit(REPRESENTATIVES)).alias("r")).agg(F.min(F.struct(place.alias("place"), "k1", "k2")).alias("s"), F.max("blocks").alias("blocks"))
+    stand = stand.select("key", "s.k1", "s.k2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("left"))
+    rows = own.select("key", F.col("block").alias("left"), F.col("block").alias("right"), "block", "k1", "k2")
+    return rows.unionAll(stand.select("key", "left", F.col("left").alias("right"), F.lit(-1).cast("bigint").alias("block"), "k1", "k2"))
+
+
+def _rest_work(labels: DataFrame, block: int) -> DataFrame:
+    """The work left over in large buckets: texts outside the bucket's main group against one another and against the group.
+
+    `labels` (key, k1, k2, r1, r2) holds every text of a large bucket with its
+    representative. The main group is that of the representative of most texts; it is
+    connected, so its pairs are done. Blocks of the others come first in number.
+    """
+    sizes = labels.groupBy("key", "r1", "r2").agg(F.count(F.lit(1)).alias("m"))
+    known = F.when(F.col("r1").isNotNull(), F.struct("m", "r1", "r2"))
+    main = sizes.groupBy("key").agg(F.max(known).alias("main"), F.sum("m").alias("n"))
+    n_main = F.coalesce("main.m", F.lit(0))
+    main = main.where(F.col("n") > n_main).select(
+        "key", F.col("main.r1").alias("m1"), F.col("main.r2").alias("m2"), F.ceil((F.col("n") - n_main) / block).alias("others"), F.ceil(n_main / block).alias("blocks")
+    )
+    own = labels.join(main, "key").withColumn("inside", F.coalesce((F.col("r1") == F.col("m1")) & (F.col("r2") == F.col("m2")), F.lit(False)))
+    place = F.xxhash64("k1", "k2", "key")
+    own = own.withColumn("block", F.when(F.col("inside"), F.col("others") + F.pmod(place, F.col("blocks"))).otherwise(F.pmod(place, F.col("others"))))
+    reach = F.when(F.col("inside"), F.col("others")).otherwise(F.col("others") + F.col("blocks"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), reach - 1)))
+    return own.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "k1", "k2")
+
+
+def _judged(docs: DataFrame, work: DataFrame, wanted: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """The links and labels of all pieces of work, stored."""
+    texts = _once_a_task(docs, ["doc_id", "text"], idf, by_id=False).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text")
+    # Sorted joins at every size: texts are dealt out by their key once, whatever fits a broadcast today.
+    texts = texts.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    rows = texts.join(work.hint("merge"), ["k1", "k2"]).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "k1", "k2")
+    return written(_verify(rows.select("key", "left", "right", "block", "k1", "k2", "text"), idf, threshold), "text-links")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, k1, k2, class_key) of every row of (doc_id, text), and the idf of all slots.
 
-    Rows of one class_key are near-duplicates of one another, directly or over
-    others; it is null for texts without words, which are in no class.
+    Rows of one class_key (two hashes) are near-duplicates of one another, directly
+    or over others; it is null for texts without words, which are in no class.
     """
+    docs = docs.select("doc_id", "text")
     idf = inverse(*document_frequencies(docs))
-    keyed = written(append_columns(docs.select("doc_id", "text"), "text", _sketch(idf), "k1 bigint, k2 bigint, bands array<bigint>", keep_text=False), "sketches")
-    nodes = written(keyed.where(F.col("k1").isNotNull()).groupBy("k1").agg(F.first("bands").alias("bands")), "texts")
-    banded = nodes.select(F.col("k1").alias("node"), F.explode("bands").alias("key"))
+    keyed = written(append_columns(docs, "text", _sketch(idf), "k1 bigint, k2 bigint, bands array<bigint>", keep_text=False), "sketches")
+    nodes = written(keyed.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(F.first("bands").alias("bands")), "texts")
+    banded = nodes.select("k1", "k2", F.explode("bands").alias("key"))
     # Buckets of the same texts in several bands are one bucket; those of one text are none.
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.hash("node").cast("bigint")).alias("s")).where("n > 1")
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("k1", "k2")).alias("x"), F.sum(F.hash("k1", "k2").cast("bigint")).alias("s")).where("n > 1")
     kept = written(sizes.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
     buckets = written(banded.join(kept, "key"), "bucket-texts")
-    wanted = buckets.select("node").distinct()
-    texts = _once_a_task(docs.select("doc_id", "text"), ["doc_id", "text"], idf, by_id=False).select(F.col("_k1").alias("node"), "text")
-    # Sorted joins at every size: texts are dealt out by their key once, whatever fits a broadcast today.
-    texts = texts.join(wanted.hint("merge"), "node").dropDuplicates(["node"])
-    work = texts.join(_work(buckets, block).hint("merge"), "node").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
-    links = written(_verify(work.select("key", "left", "right", "block", "node", "text"), idf, threshold), "text-links")
-    found = components(links)
-    return keyed.select("doc_id", "k1", "k2").join(found.withColumnRenamed("node", "k1"), "k1", "left").select("doc_id", "k1", "k2", F.coalesce("component", "k1").alias("class_key")), idf
+    found = _judged(docs, _first_work(buckets, block), buckets.select("k1", "k2").distinct(), idf, threshold)
+    rest = written(_rest_work(found.where(~F.col("link")).drop("link"), block), "rest-work")
+    if not rest.isEmpty():
+        found = found.unionAll(_judged(docs, rest, rest.select("k1", "k2").distinct(), idf, threshold))
+    links = found.where("link").select(F.struct("k1", "k2").alias("a"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("b"))
+    groups = components(links).select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "component")
+    out = keyed.select("doc_id", "k1", "k2").join(groups, ["k1", "k2"], "left")
+    return out.select("doc_id", "k1", "k2", F.when(F.col("k1").isNotNull(), F.coalesce("component", F.struct("k1", "k2"))).alias("class_key")), idf
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -335,8 +395,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` without near-duplicates: of every class the one of smallest id, and all wordless texts.
 
     Ties of one id go by the hash of the text; of rows that repeat both, one stays.
-    Other columns pass through; two of them may not be called _k1 and _k2.
+    Other columns pass through, whatever their names.
     """
+    names = docs.columns
+    others = {n: f"_c{i}" for i, n in enumerate(names) if n not in ("doc_id", "text")}
+    docs = docs.withColumnsRenamed(others)
     columns = docs.columns
     found, idf = classes(docs, threshold)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k1", "k2")).alias("w")
@@ -344,4 +407,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = _once_a_task(docs, columns, idf, by_id=True)
     wordless = (F.col("_k1") == 0) & (F.col("_k2") == 0)
     chosen = rows.where(~wordless).join(winners.withColumnRenamed("doc_id", "_winner"), (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("_winner")))
-    return chosen.dropDuplicates(["_k1", "_k2"]).select(*columns).unionByName(rows.where(wordless).select(*columns))
+    kept = chosen.dropDuplicates(["_k1", "_k2"]).select(*columns).unionByName(rows.where(wordless).select(*columns))
+    return kept.withColumnsRenamed({c: n for n, c in others.items()})

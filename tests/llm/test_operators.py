@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,9 @@ def test_one_of_each_class_stays(spark):
     kept = near_duplicates.keep_one(docs_of(spark, rows)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, i) for i in (1, 2, 3, 4, 5, 6, 7, 11, 12)] + [(True, 0)]
     assert near_duplicates.keep_one(docs_of(spark, [])).count() == 0
+    assert near_duplicates.near_duplicates(docs_of(spark, [])).count() == 0
+    odd = near_duplicates.keep_one(docs_of(spark, rows).withColumnsRenamed({"lang": "_k1", "source": "_k2", "n_chars": "_winner"}))
+    assert odd.columns == ["doc_id", "text", "_k1", "_k2", "_winner"] and odd.count() == 10 and {r["_k1"] for r in odd.collect()} == {"en"}
 
 
 def test_large_buckets_are_cut_into_blocks(spark):
@@ -116,6 +120,77 @@ def test_large_buckets_are_cut_into_blocks(spark):
     assert len({keys[i] for i in range(90)}) == 1 and len(set(keys.values())) == 21
 
 
+def test_work_of_a_large_bucket_grows_with_its_texts(spark):
+    sizes = {}
+    for n in (1000, 4000, 16_000):
+        bucket = spark.range(n).select(F.lit(7).cast("bigint").alias("key"), F.lit(n).cast("bigint").alias("n"), F.xxhash64("id").alias("k1"), F.col("id").alias("k2"))
+        work = near_duplicates._first_work(bucket, 256)
+        sizes[n] = work.count()
+        assert sizes[n] == n + near_duplicates.REPRESENTATIVES * -(-n // 256)
+        # All in the main group but three texts, which meet everything once.
+        labels = bucket.select("key", "k1", "k2", F.when(F.col("k2") > 2, F.lit(1).cast("bigint")).alias("r1"), F.when(F.col("k2") > 2, F.lit(2).cast("bigint")).alias("r2"))
+        assert near_duplicates._rest_work(labels, 256).count() <= n + 3 * (2 + n // 256)
+        assert near_duplicates._rest_work(labels.where("k2 > 2"), 256).count() == 0
+    assert sizes[16_000] < 16.1 * sizes[1000]
+
+
+def test_texts_outside_the_main_group_meet_everything(spark):
+    # Pieces of work over numbered texts: every pair that is not inside the main group meets, once.
+    n, block = 60, 8
+    bucket = spark.range(n).select(F.lit(1).cast("bigint").alias("key"), F.lit(n).cast("bigint").alias("n"), (F.col("id") * 7919).alias("k1"), F.col("id").alias("k2"))
+    group = F.when(F.col("k2") < 40, F.lit(5)).when(F.col("k2") < 50, F.lit(6)).cast("bigint")
+    work = near_duplicates._rest_work(bucket.select("key", "k1", "k2", group.alias("r1"), group.alias("r2")), block).collect()
+    met = {}
+    for a in work:
+        for b in work:
+            if (a.left, a.right) == (b.left, b.right) and a.k2 < b.k2 and (a.left == a.right or a.block != b.block):
+                met[a.k2, b.k2] = met.get((a.k2, b.k2), 0) + 1
+    assert met == {(i, j): 1 for i in range(n) for j in range(max(i + 1, 40), n)}
+
+
+@pytest.mark.parametrize("others", [0, 14, 300])
+@pytest.mark.parametrize("length", [60, 3000])
+def test_pairs_at_the_threshold_are_judged_alike_in_small_and_large_buckets(others, length):
+    # Weighted Jaccard by brute force; the threshold is set to that of a pair, just over it, and just under.
+    r = np.random.default_rng(length)
+    base = r.integers(1, 1 << 60, length).astype(np.uint64)
+    texts = [base, np.concatenate([base[: length * 9 // 10], r.integers(1, 1 << 60, length // 10).astype(np.uint64)])]
+    texts += [r.integers(1, 1 << 60, 50).astype(np.uint64) for _ in range(others)]
+    weight = {v: 1 + float(w) for v, w in zip(np.concatenate(texts).tolist(), r.random(sum(map(len, texts))))}
+    weights = [np.array([weight[v] for v in t.tolist()]) for t in texts]
+    shared = sum(weight[v] for v in {*texts[0].tolist()} & {*texts[1].tolist()})
+    exact = shared / (weights[0].sum() + weights[1].sum() - shared)
+    for threshold, linked in ((exact, True), (exact - 1e-7, True), (exact + 1e-7, False)):
+        found = near_duplicates._linked(texts, weights, np.zeros(len(texts), int), False, threshold)
+        assert (found[1] == 0) == linked and (found[2:] == np.arange(2, len(texts))).all()
+
+
+def test_classes_agree_with_weighted_brute_force(spark):
+    from gazette.llm.words import buffer_of
+
+    r = np.random.default_rng(12)
+    base = words(60, 40)
+    texts = []
+    for i in range(50):
+        own = [*base]
+        for at in r.choice(60, i % 6, replace=False):
+            own[at] = f"swap{r.integers(4)}"
+        texts.append(" ".join(own * (1 + i % 2)))
+    texts += [" ".join(words(30, 60 + i)) for i in range(6)]
+    docs = docs_of(spark, list(enumerate(texts)))
+    got = {x.doc_id: x.class_id for x in near_duplicates.near_duplicates(docs).collect()}
+    idf = near_duplicates.inverse(*near_duplicates.document_frequencies(docs))
+    values, counts, mean, first, _ = near_duplicates.weighted(*buffer_of(pa.array(texts)), idf)
+    bags = [{v: (1 + np.log(c)) * m for v, c, m in zip(values[a:b].tolist(), counts[a:b].tolist(), mean[a:b].tolist())} for a, b in zip(first, first[1:])]
+    label = [*range(len(texts))]
+    for i, x in enumerate(bags):
+        for j, y in enumerate(bags):
+            low = sum(min(x.get(v, 0), y.get(v, 0)) for v in x)
+            if low >= 0.8 * (sum(x.values()) + sum(y.values()) - low):
+                label = [min(label[i], label[j]) if v in (label[i], label[j]) else v for v in label]
+    assert got == dict(enumerate(label))
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     import pyarrow as pa
 
