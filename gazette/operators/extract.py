@@ -325,8 +325,10 @@ def open_only(df: DataFrame, domain: str, now: Column) -> DataFrame:
 
 
 # --- structured data ----------------------------------------------------------------------------------
-# Graphs are followed this deep at once; deeper ones are looked for and followed as well.
+# Levels of a payload that are one plan; deeper ones are looked for and followed as well.
 FIRST_DEPTH = 4
+# The JSON parser takes documents of this many nested levels.
+JSON_DEPTH = 1_000
 
 
 def _elements(json: Column) -> Column:
@@ -356,50 +358,43 @@ def _salary(o: Column) -> Column:
     return F.when(base.startswith("{"), blank_to_null(parts)).otherwise(clean_or_null(base))
 
 
-def _flattened(json: Column, depth: int) -> Column:
-    """The elements of a document, each followed by those of its graph, `depth` graphs down."""
-    if not depth:
-        return _elements(json)
+def _documents(script: Column) -> Column:
+    """array<struct(path, json)>: the elements of a script, each followed by those of its graph, to any depth.
 
-    def with_graph(element: Column) -> Column:
-        graph = F.get_json_object(element, "$['@graph']")
-        return F.when(graph.isNull(), F.array(element)).otherwise(F.concat(F.array(element), _flattened(graph, depth - 1)))
-
-    return F.flatten(F.transform(_elements(json), with_graph))
-
-
-def _nests(json: Column, depth: int) -> Column:
-    """Whether graphs lie in one another more than `depth` times."""
-
-    def deeper(element: Column) -> Column:
-        graph = F.get_json_object(element, "$['@graph']")
-        return graph.isNotNull() if not depth else graph.isNotNull() & _nests(graph, depth - 1)
+    The depth is followed by data, one level of all graphs a step; a script has no
+    more levels than it names graphs, nor than the parser lets JSON nest. Paths hold
+    the place in every graph on the way, so they sort in document order.
+    """
+    kind = "array<struct<path:array<int>,json:string>>"
+    placed = lambda json, path: F.transform(_elements(json), lambda x, i: F.struct(F.concat(path, F.array(i)).alias("path"), x.alias("json")))
 
-    return F.coalesce(F.exists(_elements(json), deeper), F.lit(False))
+    def graph_of(element: Column) -> Column:
+        graph = F.get_json_object(element["json"], "$['@graph']")
+        return F.when(graph.isNull(), F.array().cast(kind)).otherwise(placed(graph, element["path"]).cast(kind))
 
+    def step(state: Column, _: Column) -> Column:
+        deeper = F.struct(F.flatten(F.transform(state["level"], graph_of)).alias("level"), F.concat(state["out"], state["level"]).alias("out"))
+        return F.when(F.size(state["level"]) == 0, state).otherwise(deeper)
 
-def _graph_depth(pages: DataFrame, scripts: Column) -> int:
-    """How deep graphs have to be followed: no page nests more of them than it names."""
-    named = pages.agg(F.max(F.size(F.split("html", "@graph", -1)) - 1)).first()[0] or 0
-    depth = min(named, FIRST_DEPTH)
-    while depth < named and not pages.where(F.exists(scripts, lambda s: _nests(s, depth))).isEmpty():
-        depth = min(named, 2 * depth)
-    return depth
+    named = F.size(F.split(script, "@graph", -1)) - 1
+    start = F.struct(placed(script, F.array().cast("array<int>")).cast(kind).alias("level"), F.array().cast(kind).alias("out"))
+    walked = F.aggregate(F.sequence(F.lit(0), F.least(named, F.lit(JSON_DEPTH))), start, step, lambda s: s["out"])
+    return F.array_sort(walked)
 
 
 def extract_jsonld(pages: DataFrame) -> DataFrame:
     """Candidate notices from the JobPosting documents embedded in pages.
 
-    Arrays and `@graph` are flattened to any depth, in document order; malformed JSON is ignored.
+    Arrays and `@graph` are flattened to any depth, in document order; malformed JSON,
+    which more than `JSON_DEPTH` nested levels are too, is ignored.
     """
     kept = [c for c in ("page_id", "source_id", "url") if c in pages.columns]
     scripts = F.filter(
         F.transform(F.regexp_extract_all("html", F.lit(rx(V.JSON_LD_SCRIPT)), F.lit(1)), lambda s: F.trim(s)),
         lambda s: F.try_parse_json(s).isNotNull(),
     )
-    depth = _graph_depth(pages, scripts)
     rows = pages.select(*kept, scripts.alias("scripts"))
-    flat = F.flatten(F.transform("scripts", lambda s: _flattened(s, depth)))
+    flat = F.flatten(F.transform("scripts", lambda s: F.transform(_documents(s), lambda d: d["json"])))
     objects = rows.select(*kept, F.posexplode(flat).alias("pos", "raw"))
     kind = F.get_json_object("raw", "$['@type']")
     posting = F.exists(_elements(kind), lambda t: F.lower(t) == "jobposting")

@@ -287,10 +287,10 @@ def test_backups_of_several_files_keep_their_order(spark):
 
 def test_pages_stream_into_snapshots(spark, listings, sources):
     folder = tempfile.mkdtemp(prefix="gazette-test-")
-    card = '<article><h3>Recruitment of {0} (Apply Online from 05.03.2031 to 19.04.2031)</h3><p>ADVERTISEMENT NO: HB/{1}/2031</p><p>LAST DATE TO APPLY: 19-04-2031</p><a href="/f/{1}.pdf">DOWNLOAD ADVERTISEMENT</a></article>'
-    pages = spark.createDataFrame([(2**40 + i, 1, "https://example.gov.in/jobs", card.format(n, i)) for i, n in enumerate(["Pilots", "Keepers"])], "page_id bigint, source_id bigint, url string, html string")
-    for row in range(2):
-        pages.where(F.col("page_id") == 2**40 + row).coalesce(1).write.mode("append").parquet(f"{folder}/pages")
+    row = '<table><tr><td>Advt. No. MU-{1}/44</td><td><a href="/f/{1}.pdf">Engagement of {0} in the museum</a></td><td>Closing date: 19-04-2044</td></tr></table>'
+    pages = spark.createDataFrame([(2**40 + i, 1, "https://example.gov.in/jobs", row.format(n, i)) for i, n in enumerate(["Guides", "Archivists"])], "page_id bigint, source_id bigint, url string, html string")
+    for n in range(2):
+        pages.where(F.col("page_id") == 2**40 + n).coalesce(1).write.mode("append").parquet(f"{folder}/pages")
     files.write_snapshot(listings({"id": 1, "title": "Recruitment of Wardens"}), f"{folder}/snap", 0)
     none = spark.createDataFrame([], "source_id bigint, candidate_key string, snapshot_hash string, decision string, reason string")
     newest = {"n": 0}
@@ -304,24 +304,24 @@ def test_pages_stream_into_snapshots(spark, listings, sources):
     q = jobs.stream_ingest(stream, load, store, sources({}), none, lambda: NOW, f"{folder}/check").trigger(availableNow=True).start()
     q.awaitTermination()
     titles = [r["title"] for r in load().collect()]
-    assert newest["n"] == 2 and len(titles) == 3 and sorted(t.split()[-1] for t in titles)[-1] == "Wardens"
-    assert [sum(word in t for t in titles) for word in ("Pilots", "Keepers")] == [1, 1]
+    assert newest["n"] == 2 and len(titles) == 3 and sorted(t.split()[-1] for t in titles)[0] == "Wardens"
+    assert [sum(word in t for t in titles) for word in ("Guides", "Archivists")] == [1, 1]
 
 
 def test_rows_of_a_batch_meet_its_new_listings(spark, listings, sources):
-    card = '<article><h3>{title}</h3><p>{number}</p><p>LAST DATE TO APPLY: {last}</p><a href="/f/{file}.pdf">DOWNLOAD ADVERTISEMENT</a></article>'
+    card = '<table><tr><td>{number}</td><td><a href="/f/{file}.pdf">{title}</a></td><td>Closing date: {last}</td></tr></table>'
     cards = [
-        {"title": "Recruitment of Pilots Grade II in Harbour", "number": "ADVERTISEMENT NO: HB/1/2031", "last": "19-04-2031", "file": 1},
+        {"title": "Engagement of Museum Guides for the North Wing", "number": "Advt. No. MU-1/44", "last": "19-04-2044", "file": 1},
         # The same document without its number, with a later date.
-        {"title": "Recruitment of Pilots Grade II in Harbour", "number": "", "last": "25-04-2031", "file": 1},
+        {"title": "Engagement of Museum Guides for the North Wing", "number": "", "last": "25-04-2044", "file": 1},
         # An amendment of a notice that comes after it, the notice, and an amendment that follows its notice.
-        {"title": "Corrigendum: Recruitment of Senior Keepers Lighthouse", "number": "ADVERTISEMENT NO: HB/8/2031", "last": "30-05-2031", "file": 8},
-        {"title": "Recruitment of Senior Keepers Lighthouse", "number": "ADVERTISEMENT NO: HB/2/2031", "last": "19-05-2031", "file": 2},
-        {"title": "Corrigendum: Recruitment of Pilots Grade II in Harbour", "number": "ADVERTISEMENT NO: HB/9/2031", "last": "30-04-2031", "file": 9},
+        {"title": "Corrigendum: Engagement of Paper Archivists in the Tower", "number": "Advt. No. MU-8/44", "last": "30-05-2044", "file": 8},
+        {"title": "Engagement of Paper Archivists in the Tower", "number": "Advt. No. MU-2/44", "last": "19-05-2044", "file": 2},
+        {"title": "Corrigendum: Engagement of Museum Guides for the North Wing", "number": "Advt. No. MU-9/44", "last": "30-04-2044", "file": 9},
     ]
     pages = spark.createDataFrame([(i, 1, "https://example.gov.in/jobs", card.format(**c)) for i, c in enumerate(cards)], "page_id bigint, source_id bigint, url string, html string")
     none = spark.createDataFrame([], "source_id bigint, candidate_key string, snapshot_hash string, decision string, reason string")
     held = listings({"id": 1, "title": "Recruitment of Wardens"})
     result = lambda rows: sorted((r["id"], r["last_date"] and str(r["last_date"].date()), (r["notification_link"] or "")[-5:]) for r in rows.collect())
     got = result(jobs.ingest_pages(pages, held, sources({}), none, NOW, 7))
-    assert got == [(1, None, ""), (2, "2031-04-30", "9.pdf"), (3, "2031-05-19", "2.pdf")]
+    assert got == [(1, None, ""), (2, "2044-04-30", "9.pdf"), (3, "2044-05-19", "2.pdf")]
