@@ -30,6 +30,8 @@ BANDS, ROWS = 12, 4
 SLOT_BITS = 18
 #: Texts of a bucket that are compared with one another in one piece of work, and representatives that every block of a large bucket gets.
 BLOCK, REPRESENTATIVES = 256, 8
+#: Bits of the filter that keeps texts out that no bucket holds.
+FILTER_BITS = 1 << 26
 #: Texts a task remembers to hand on equal ones once.
 SEEN = 1_000_000
 
@@ -82,6 +84,17 @@ def inverse(frequencies: np.ndarray, texts: int) -> np.ndarray:
     return 1 + np.log((texts + 1) / (frequencies + 1)) / np.log(texts + 2)
 
 
+def _keys(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of all words of every text, 0 for none."""
+    words = np.diff(start)
+    back = np.arange(len(hashes)) - np.repeat(start[:-1], words)
+    keys = []
+    for p in (powers(len(hashes) + 1), powers(len(hashes) + 1, 0xC2B2AE3D27D4EB4F | 1)):
+        k = mix(per_text(hashes * p[back], start) + words.astype(np.uint64))
+        keys.append(np.where(words > 0, k, np.uint64(0)).view(np.int64))
+    return keys[0], keys[1]
+
+
 def weighted(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Distinct shingles of every text in order, their counts and mean idf, and the keys of the texts.
 
@@ -91,14 +104,7 @@ def weighted(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np
     hashes, _, _, start = split_words(data, offsets)
     n, n_texts = len(hashes), len(offsets) - 1
     words = np.diff(start)
-    place = powers(n + 1)
-    other = powers(n + 1, 0xC2B2AE3D27D4EB4F | 1)
-    keys = []
     whose = np.repeat(np.arange(n_texts), words)
-    back = np.arange(n) - np.repeat(start[:-1], words)
-    for p in (place, other):
-        k = mix(per_text(hashes * p[back], start) + words.astype(np.uint64))
-        keys.append(np.where(words > 0, k, np.uint64(0)).view(np.int64))
     values, at = shingles(hashes, start)
     share = np.concatenate([[0.0], np.cumsum(idf[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)])])
     end = np.minimum(at + SHINGLE, np.repeat(start[1:], words)[at] if n else at)
@@ -109,7 +115,7 @@ def weighted(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np
     lead[codes[::-1]] = np.arange(len(codes))[::-1]
     counts = np.bincount(codes, minlength=len(distinct))
     # factorize numbers by first place, so the texts stay in order.
-    return values[lead], counts, mean[lead], np.searchsorted(own[lead], np.arange(n_texts + 1)), tuple(keys)
+    return values[lead], counts, mean[lead], np.searchsorted(own[lead], np.arange(n_texts + 1)), _keys(hashes, start)
 
 
 def samples(values: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -282,18 +288,40 @@ def _verify(rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, _FOUND)
 
 
-def _once_a_task(docs: DataFrame, keep: list[str], idf: np.ndarray, by_id: bool) -> DataFrame:
-    """Rows with their text keys (_k1, _k2); rows equal to one the task has handed on are left out if it remembers it."""
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter over (k1, k2): 8 to 16 bits a key up to `FILTER_BITS`, beyond which it lets more through."""
+    bits = min(FILTER_BITS, 1 << max(10, (8 * keys.count()).bit_length()))
+    at = F.explode(F.array(*[F.pmod(F.col(k), F.lit(bits)) for k in ("k1", "k2")]))
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _may_hold(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) & np.uint64(64 * len(filter_) - 1)
+    return filter_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) != 0
+
+
+def _once_a_task(docs: DataFrame, keep: list[str], by_id: bool, among: np.ndarray | None = None) -> DataFrame:
+    """Rows with their text keys (_k1, _k2); rows equal to one the task has handed on are left out if it remembers it.
+
+    `among` is a filter of the keys that are asked for; rows outside it are left out.
+    """
 
     def run(batches):
         seen: set = set()
         for batch in batches:
             data, offsets = buffer_of(batch.column(keep.index("text")))
             for a, b in row_chunks(offsets):
-                _, _, _, _, (k1, k2) = weighted(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], idf)
+                hashes, _, _, start = split_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                k1, k2 = _keys(hashes, start)
+                asked = np.ones(b - a, bool) if among is None else _may_hold(among, k1) & _may_hold(among, k2)
                 ids = batch.column(keep.index("doc_id")).slice(a, b - a).to_pylist() if by_id else [0] * (b - a)
                 take = []
                 for i, key in enumerate(zip(k1.tolist(), k2.tolist(), ids, strict=True)):
+                    if not asked[i]:
+                        continue
                     if key[0] or key[1]:
                         if key in seen:
                             continue
@@ -343,7 +371,8 @@ def _rest_work(labels: DataFrame, block: int) -> DataFrame:
 
 def _judged(docs: DataFrame, work: DataFrame, wanted: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """The links and labels of all pieces of work, stored."""
-    texts = _once_a_task(docs, ["doc_id", "text"], idf, by_id=False).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text")
+    # Only texts that are compared are moved.
+    texts = _once_a_task(docs, ["doc_id", "text"], by_id=False, among=_filter(wanted)).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text")
     # Sorted joins at every size: texts are dealt out by their key once, whatever fits a broadcast today.
     texts = texts.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     rows = texts.join(work.hint("merge"), ["k1", "k2"]).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "k1", "k2")
@@ -365,10 +394,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("k1", "k2")).alias("x"), F.sum(F.hash("k1", "k2").cast("bigint")).alias("s")).where("n > 1")
     kept = written(sizes.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
     buckets = written(banded.join(kept, "key"), "bucket-texts")
-    found = _judged(docs, _first_work(buckets, block), buckets.select("k1", "k2").distinct(), idf, threshold)
+    found = _judged(docs, _first_work(buckets, block), written(buckets.select("k1", "k2").distinct(), "compared"), idf, threshold)
     rest = written(_rest_work(found.where(~F.col("link")).drop("link"), block), "rest-work")
     if not rest.isEmpty():
-        found = found.unionAll(_judged(docs, rest, rest.select("k1", "k2").distinct(), idf, threshold))
+        found = found.unionAll(_judged(docs, rest, written(rest.select("k1", "k2").distinct(), "compared"), idf, threshold))
     links = found.where("link").select(F.struct("k1", "k2").alias("a"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("b"))
     groups = components(links).select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "component")
     out = keyed.select("doc_id", "k1", "k2").join(groups, ["k1", "k2"], "left")
@@ -401,10 +430,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     others = {n: f"_c{i}" for i, n in enumerate(names) if n not in ("doc_id", "text")}
     docs = docs.withColumnsRenamed(others)
     columns = docs.columns
-    found, idf = classes(docs, threshold)
+    found, _ = classes(docs, threshold)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k1", "k2")).alias("w")
     winners = written(found.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(best).select("w.doc_id", "w.k1", "w.k2"), "kept-texts")
-    rows = _once_a_task(docs, columns, idf, by_id=True)
+    rows = _once_a_task(docs, columns, by_id=True)
     wordless = (F.col("_k1") == 0) & (F.col("_k2") == 0)
     chosen = rows.where(~wordless).join(winners.withColumnRenamed("doc_id", "_winner"), (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("_winner")))
     kept = chosen.dropDuplicates(["_k1", "_k2"]).select(*columns).unionByName(rows.where(wordless).select(*columns))
