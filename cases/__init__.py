@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["listing_cases", "text_cases", "linkage_cases", "plan_cases", "extract_cases", "board_cases", "flow_cases"]
+MODULES = ["listing_cases", "text_cases", "linkage_cases", "plan_cases", "extract_cases", "board_cases", "flow_cases", "run_cases"]
 
 
 def load_all() -> None:

@@ -62,15 +62,16 @@ def last_wins_index(df: DataFrame, key: list[str], order: str = "id") -> DataFra
 
 
 # --- amendment titles -----------------------------------------------------------------
-def _token_sets(df: DataFrame, row_id: str) -> DataFrame:
+def title_words(df: DataFrame, row_id: str = "id") -> DataFrame:
+    """(source_id, tokens, id): the significant title words of every row that has a source and two of them."""
+    rows = df.where(F.col("source_id").isNotNull())
+    words = rows.select("source_id", F.array_sort(significant_tokens("title")).alias("tokens"), F.col(row_id).alias("id"))
+    return words.where(F.size("tokens") >= 2)
+
+
+def _collapsed(words: DataFrame) -> DataFrame:
     """Distinct (source, title words) with the smallest id carrying them."""
-    return (
-        df.where(F.col("source_id").isNotNull())
-        .select("source_id", F.array_sort(significant_tokens("title")).alias("tokens"), F.col(row_id).alias("id"))
-        .where(F.size("tokens") >= 2)
-        .groupBy("source_id", "tokens")
-        .agg(F.min("id").alias("id"))
-    )
+    return words.groupBy("source_id", "tokens").agg(F.min("id").alias("id"))
 
 
 def _postings(sets: DataFrame, rarity: DataFrame) -> DataFrame:
@@ -95,18 +96,19 @@ def _postings(sets: DataFrame, rarity: DataFrame) -> DataFrame:
     )
 
 
-def amendment_matches(candidates: DataFrame, listings: DataFrame) -> DataFrame:
+def amendment_matches(candidates: DataFrame, titles: DataFrame) -> DataFrame:
     """(cand_id, listing_id): the first listing of the source whose title words overlap enough.
 
+    `titles` are the `title_words` of the listings, of other sources as well.
     Copies of a title are collapsed before the join.  Each posting list is read
     up to its first `FIRST_POSTINGS` ids; only candidates that could still find
     an earlier listing beyond that go on to the rest of the lists.
     """
     amendments = candidates.where(F.col("is_corrigendum"))
     sources = amendments.select("source_id").distinct()
-    left = _token_sets(amendments, "cand_id")
+    left = _collapsed(title_words(amendments, "cand_id"))
     # Compact intermediates that several branches read are computed once.
-    right = written(_token_sets(listings.join(sources, "source_id", "left_semi"), "id"), "title-words")
+    right = written(_collapsed(titles.join(sources, "source_id", "left_semi")), "title-words")
     words = right.select("source_id", F.explode("tokens").alias("word"))
     rarity = words.groupBy("source_id", "word").agg(F.count(F.lit(1)).alias("n"))
     key = ["source_id", "m", "word"]
@@ -159,16 +161,21 @@ def _first_hit(hits: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def match_candidates(candidates: DataFrame, listings: DataFrame) -> DataFrame:
     """(cand_id, listing_id, matched_by) for every candidate; unmatched rows carry nulls."""
-    index = last_wins_index(listing_keys(listings), ["kind", "key"]).withColumnRenamed("id", "listing_id")
-    exact = candidate_keys(candidates).join(index, ["kind", "key"]).select("cand_id", "kind", "listing_id")
-    overlap = amendment_matches(candidates, listings).withColumn("kind", F.lit(BY_AMENDMENT))
+    return match_with(candidates, candidate_keys(candidates), listing_keys(listings), title_words(listings))
+
+
+def match_with(candidates: DataFrame, wanted: DataFrame, keys: DataFrame, titles: DataFrame) -> DataFrame:
+    """`match_candidates` over the keys of the candidates, and the keys and title words of the listings."""
+    index = last_wins_index(keys, ["kind", "key"]).withColumnRenamed("id", "listing_id")
+    exact = wanted.join(index, ["kind", "key"]).select("cand_id", "kind", "listing_id")
+    overlap = amendment_matches(candidates, titles).withColumn("kind", F.lit(BY_AMENDMENT))
     return _first_hit(exact.unionByName(overlap), candidates)
 
 
 def match_by(candidates: DataFrame, listings: DataFrame, kind: int) -> DataFrame:
     """Matches of a single key kind."""
     if kind == BY_AMENDMENT:
-        return amendment_matches(candidates, listings)
+        return amendment_matches(candidates, title_words(listings))
     index = last_wins_index(listing_keys(listings).where(F.col("kind") == kind), ["key"])
     keys = candidate_keys(candidates).where(F.col("kind") == kind)
     return keys.join(index, "key").select("cand_id", F.col("id").alias("listing_id"))
@@ -308,7 +315,7 @@ def match_earlier(candidates: DataFrame, batch: DataFrame, added: DataFrame, ord
     keys = candidate_keys(batch.join(added.select("cand_id"), "cand_id", "left_semi")).withColumnRenamed("cand_id", "from")
     exact = candidate_keys(candidates).join(keys.join(made, "from"), ["kind", "key"]).select("cand_id", "kind", "listing_id")
     # The first overlapping title is the earliest: if it comes too late, so do the others.
-    overlap = amendment_matches(candidates, added).withColumn("kind", F.lit(BY_AMENDMENT)).select("cand_id", "kind", "listing_id")
+    overlap = amendment_matches(candidates, title_words(added)).withColumn("kind", F.lit(BY_AMENDMENT)).select("cand_id", "kind", "listing_id")
     places = made.join(ranks.withColumnsRenamed({"cand_id": "from", "pos": "held_pos"}), "from").drop("from")
     hits = exact.unionByName(overlap).join(ranks, "cand_id").join(places, "listing_id").where(F.col("held_pos") < F.col("pos"))
     return _first_hit(hits, candidates).where(F.col("listing_id").isNotNull())

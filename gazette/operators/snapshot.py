@@ -188,13 +188,17 @@ def touch_duplicates(listings: DataFrame, matched: DataFrame, now: datetime | st
 
 
 # --- expiry and recovery ------------------------------------------------------------------
-def _expired(now: Column) -> Column:
+EXPIRY_REASON = "Application deadline passed"
+
+
+def is_due(now: Column) -> Column:
+    """Published, and past either deadline."""
     return (F.col("status") == "PUBLISHED") & (is_past("last_date", now) | is_past("expires_at", now))
 
 
 def expire(listings: DataFrame, now: datetime | str) -> DataFrame:
     """Published listings past either deadline become EXPIRED."""
-    due = _expired(ts(now))
+    due = is_due(ts(now))
     return listings.withColumn("_due", due).withColumns(
         {
             "status": F.when(F.col("_due"), "EXPIRED").otherwise(F.col("status")),
@@ -207,9 +211,9 @@ def expire(listings: DataFrame, now: datetime | str) -> DataFrame:
 
 def expiry_items(listings: DataFrame, now: datetime | str, run_id: str, dry_run: bool = False) -> DataFrame:
     """Audit rows of `expire`."""
-    reason = "Would mark expired; dry run made no job change" if dry_run else "Application deadline passed"
+    reason = "Would mark expired; dry run made no job change" if dry_run else EXPIRY_REASON
     return audit_rows(
-        listings.where(_expired(ts(now))).select(
+        listings.where(is_due(ts(now))).select(
             F.lit(run_id).alias("run_id"),
             "source_id",
             "source_name",

@@ -36,14 +36,16 @@ def propose(
     minimum: str = V.MIN_DRAFT_CONFIDENCE,
     threshold: str = V.HIGH_CONFIDENCE,
     auto_publish: bool = False,
+    matches: DataFrame | None = None,
 ) -> DataFrame:
     """Every prepared candidate with `action`, `reason`, match and changes.
 
+    With `matches` (of `match_candidates`) `listings` need only hold the matched ones.
     Actions: WOULD_ADD, WOULD_UPDATE, DUPLICATE, REJECTED, EXPIRED, LOW_CONFIDENCE.
     """
     scored = scoring.score_confidence(scoring.with_source(prepared, sources), now, threshold, auto_publish)
     judged = scoring.classify_quality(scored, now, minimum)
-    matched = judged.join(linkage.match_candidates(prepared, listings), "cand_id")
+    matched = judged.join(linkage.match_candidates(prepared, listings) if matches is None else matches, "cand_id")
     orphan = F.col("is_corrigendum") & F.col("listing_id").isNull()
     gated = matched.withColumns(
         {

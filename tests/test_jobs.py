@@ -57,7 +57,7 @@ def test_amendment_overlap_reads_past_the_first_postings(spark, candidates, list
                 return j
         return None
 
-    got = {r["cand_id"]: r["listing_id"] for r in linkage.amendment_matches(rows, held).collect()}
+    got = {r["cand_id"]: r["listing_id"] for r in linkage.amendment_matches(rows, linkage.title_words(held)).collect()}
     assert got == {i: expected(i) for i in range(60) if expected(i) is not None}
 
 
