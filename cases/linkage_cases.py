@@ -113,6 +113,20 @@ def _(t: Tables):
 
 
 # The ordered walk is too slow in SQL on the whole table; tests compare it with brute force.
-@query("dedupe_batch")
+# Round by round: rows first on all their keys stay, rows that share a key with one go.
+_WALK = f"""WITH RECURSIVE ck AS MATERIALIZED (SELECT DISTINCT x.id AS cand_id, c.pos, x.kind, x.key FROM ({keys_sql('candidates', 'cand_id', k.day('last_date'))}) x JOIN candidates c ON c.cand_id = x.id WHERE x.key IS NOT NULL),
+  walk AS (SELECT cand_id, pos, kind, key, 'open' AS state FROM ck
+    UNION ALL SELECT cand_id, pos, kind, key, CASE WHEN keep THEN 'kept' WHEN gone THEN 'gone' ELSE 'open' END FROM (SELECT *, bool_or(taken) OVER (PARTITION BY cand_id) AS gone FROM (SELECT *, bool_or(keep) OVER (PARTITION BY kind, key) AS taken
+      FROM (SELECT *, bool_and(pos = first) OVER (PARTITION BY cand_id) AS keep FROM (SELECT *, min(pos) OVER (PARTITION BY kind, key) AS first FROM walk WHERE state = 'open'))))),
+  kept AS MATERIALIZED (SELECT cand_id, pos, kind, key FROM walk WHERE state = 'kept'),
+  hits AS MATERIALIZED (SELECT ck.cand_id, ck.kind, kept.cand_id AS other FROM ck JOIN kept ON kept.kind = ck.kind AND kept.key = ck.key AND kept.pos < ck.pos WHERE ck.cand_id NOT IN (SELECT cand_id FROM kept)),
+  best AS (SELECT cand_id, min(struct_pack(kind := kind, other := other)) AS hit FROM hits GROUP BY cand_id)"""
+
+
+@query(
+    "dedupe_batch",
+    f"{_WALK} SELECT c.cand_id, b.hit IS NULL AS keep, b.hit.other AS duplicate_of, {KIND_NAME.replace('CASE kind', 'CASE b.hit.kind')} AS matched_by FROM candidates c LEFT JOIN best b ON b.cand_id = c.cand_id",
+    ("candidates",),
+)
 def _(t: Tables):
     return linkage.dedupe_batch(t.candidates)

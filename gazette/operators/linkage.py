@@ -7,6 +7,7 @@ multiplies rows and a hot key only skews the candidate side, which AQE splits.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gazette import vocabulary as V
@@ -14,6 +15,7 @@ from gazette.functions.dates import day, parsed_day
 from gazette.functions.identity import composite, fingerprint, significant_tokens
 from gazette.functions.text import blank_to_null, clean, clean_or_null, fold, present
 from gazette.functions.urls import canonical_url
+from gazette.operators.graph import connected
 from gazette.scale import written
 
 # Position in the cascade; 2 is the amendment title overlap.
@@ -253,16 +255,56 @@ def with_changes(candidates: DataFrame, matches: DataFrame, listings: DataFrame)
 
 
 # --- duplicates inside one batch ----------------------------------------------------------------
-def batch_keepers(candidates: DataFrame, order: str = "pos") -> DataFrame:
+#: Keys of a connected group of rows that one task walks in batch order; larger groups are settled by rounds.
+GROUP_KEYS = 200_000
+
+
+def _walked(group: pa.Table) -> pa.Table:
+    """The rows of one connected group that a walk in batch order keeps."""
+    group = group.sort_by("pos")
+    rows: dict[int, list[int]] = {}
+    for row, key in zip(group.column("cand_id").to_pylist(), group.column("node").to_pylist(), strict=True):
+        rows.setdefault(row, []).append(key)
+    taken: set[int] = set()
+    kept = []
+    for row, keys in rows.items():
+        if taken.isdisjoint(keys):
+            kept.append(row)
+            taken.update(keys)
+    return pa.table({"cand_id": pa.array(kept, pa.int64())})
+
+
+def batch_keepers(candidates: DataFrame, order: str = "pos", group_keys: int = GROUP_KEYS) -> DataFrame:
     """(cand_id) of the rows a sequential run would insert.
 
     A row is a duplicate when it shares any key with an earlier *kept* row.
+    Rows that share keys, directly or over others, form groups: a group of one
+    row is kept, one of at most `group_keys` keys is walked in batch order by one
+    task, whatever its chains, and only larger ones are settled by rounds.
+    """
+    ranks = candidates.select(F.col("cand_id").cast("bigint").alias("cand_id"), F.col(order).cast("bigint").alias("pos"))
+    keys = candidate_keys(candidates).select(F.col("cand_id").cast("bigint").alias("cand_id"), "kind", "key").distinct()
+    shared = keys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cand_id").alias("first")).where("n > 1")
+    # Only keys of several rows tie anything; such a key is known by its first row, so rows of it meet that one.
+    tied = written(keys.join(shared, ["kind", "key"]).join(ranks, "cand_id").withColumn("node", F.xxhash64("kind", "key")), "batch-keys")
+    groups = connected(tied.select(F.col("cand_id").alias("a"), F.col("first").alias("b")))
+    grouped = written(tied.join(groups.withColumnsRenamed({"node": "cand_id"}), "cand_id").drop("n", "first"), "batch-groups")
+    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    alone = keys.select("cand_id").distinct().join(grouped.select("cand_id").distinct(), "cand_id", "left_anti")
+    small = grouped.join(sizes.where(F.col("n") <= group_keys).select("root"), "root", "left_semi")
+    kept = alone.unionAll(written(small.select("root", "cand_id", "pos", "node").groupBy("root").applyInArrow(_walked, "cand_id bigint"), "batch-keepers"))
+    large = grouped.join(sizes.where(F.col("n") > group_keys).select("root"), "root", "left_semi")
+    return kept if large.isEmpty() else kept.unionAll(_kept_by_rounds(large))
+
+
+def _kept_by_rounds(keys: DataFrame) -> DataFrame:
+    """The kept rows of (cand_id, pos, kind, key).
+
     Each round keeps the rows that come first on all their keys among the rows
     still in play, drops the rows sharing a key with them, and repeats on the
     shrinking rest.  Keys are combined by `min`, so a hot key costs one row per
     map task.
     """
-    keys = candidate_keys(candidates).join(candidates.select("cand_id", F.col(order).alias("pos")), "cand_id")
     open_rows = written(keys.select("cand_id", "pos", "kind", "key"), "batch-keys")
     kept = None
     while True:

@@ -308,6 +308,28 @@ def test_pages_stream_into_snapshots(spark, listings, sources):
     assert [sum(word in t for t in titles) for word in ("Guides", "Archivists")] == [1, 1]
 
 
+def test_long_chains_are_settled_in_few_rounds(spark, candidates, monkeypatch):
+    # Every row shares a link with the next one: in batch order every second stays.
+    n = 3000
+    rows = spark.range(n).select(F.col("id").alias("cand_id"), ((F.col("id") * 7) % n).alias("pos"), F.concat(F.lit("https://m.example/"), F.col("id")).alias("apply_link"))
+    rows = candidates({"source_id": None}).drop("cand_id", "pos", "apply_link").crossJoin(rows).withColumn("title", F.concat(F.lit("t"), "cand_id"))
+    chain = rows.withColumn("notification_link", F.concat(F.lit("https://m.example/n"), F.floor((F.col("cand_id") + 1) / 2)))
+    chain = chain.withColumn("apply_link", F.concat(F.lit("https://m.example/a"), F.floor(F.col("cand_id") / 2)))
+    tables = []
+    monkeypatch.setattr(linkage, "written", lambda df, name, held=linkage.written: (tables.append(name), held(df, name))[1])
+    held = {(r.cand_id, r.keep) for r in linkage.dedupe_batch(chain).select("cand_id", "keep").collect()}
+    assert len(tables) < 10
+    taken, want = set(), set()
+    for i in sorted(range(n), key=lambda i: i * 7 % n):
+        keys = {("a", i // 2), ("n", (i + 1) // 2)}
+        want.add((i, not keys & taken))
+        taken |= keys if not keys & taken else set()
+    assert held == want
+    small = chain.where("cand_id < 60")
+    by_rounds = {r.cand_id for r in linkage.batch_keepers(small, group_keys=1).collect()}
+    assert by_rounds == {r.cand_id for r in linkage.batch_keepers(small).collect()}
+
+
 def test_rows_of_a_batch_meet_its_new_listings(spark, listings, sources):
     card = '<table><tr><td>{number}</td><td><a href="/f/{file}.pdf">{title}</a></td><td>Closing date: {last}</td></tr></table>'
     cards = [
