@@ -43,14 +43,14 @@ def _first(c: str, order: str) -> Column:
     return F.min_by(c, F.when(present(c), F.col(order))).alias(c)
 
 
-def merge_notices(df: DataFrame, keys: list[str] | None = None, order: str = "pos") -> DataFrame:
-    """One row per notice identity within `keys` (default: the source).
+def merge_notices(df: DataFrame, keys: list[str] | None = None, order: str = "pos", identity: Column | None = None) -> DataFrame:
+    """One row per notice identity within `keys` (default: the source); `identity` names another one.
 
     Every field is an associative aggregate over (value, encounter order), so
     the copies of a hot notice are combined before the shuffle.
     """
     keys = keys or ["source_id"]
-    rows = df.withColumn("identity", notice_identity())
+    rows = df.withColumn("identity", notice_identity() if identity is None else identity)
     title_rank = F.struct(-title_score(F.col("title")), F.length("title"), F.col(order))
     link_rank = F.when(present("notification_link"), F.struct(~is_pdf("notification_link"), F.col(order)))
     text_rank = F.struct(-F.length("raw_text"), F.col(order))

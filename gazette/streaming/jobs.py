@@ -61,8 +61,10 @@ def stream_ingest(
 def stream_alerts(listings: DataFrame, preferences: Callable[[], DataFrame], sent_path: str, checkpoint: str) -> DataStreamWriter:
     """New listings to (pref_id, listing_id) deliveries, each pair once.
 
-    Only verified subscriptions are served.  Every batch writes its own folder
-    and leaves out the pairs of the other folders, so replays change nothing.
+    Only verified subscriptions are served.  What was sent lies by the day of the
+    listing and by batch: a batch reads the days of its own listings only, and
+    writes its pairs over what the same batch wrote before, so a replay sends
+    nothing twice and old days are never read.
     """
 
     def batch(df: DataFrame, number: int) -> None:
@@ -72,12 +74,19 @@ def stream_alerts(listings: DataFrame, preferences: Callable[[], DataFrame], sen
     def send(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         prefs = preferences().where(F.col("verified_at").isNotNull())
-        pairs = alerts.match_alerts(written(df, "new-listings"), prefs)
-        schema = "pref_id {}, listing_id {}, batch bigint".format(*[t for _, t in pairs.dtypes])
-        if exists(spark, sent_path):
-            sent = spark.read.schema(schema).parquet(sent_path).where(F.col("batch") != number)
-            pairs = pairs.join(sent, ["pref_id", "listing_id"], "left_anti")
-        pairs.write.mode("overwrite").parquet(f"{sent_path.rstrip('/')}/batch={number}")
+        fresh = written(df, "new-listings")
+        day = F.coalesce(F.to_date("created_at"), F.lit("1970-01-01").cast("date")).alias("day")
+        dated = fresh.groupBy(F.col("id").alias("listing_id")).agg(F.min(day).alias("day"))
+        pairs = alerts.match_alerts(fresh.dropDuplicates(["id"]), prefs).join(dated, "listing_id")
+        days = [r.day for r in dated.select("day").distinct().collect()]
+        held = [f"{sent_path.rstrip('/')}/day={d}" for d in days]
+        held = [f for f in held if exists(spark, f)]
+        if held:
+            schema = "pref_id {}, listing_id {}, day date, batch bigint".format(*[pairs.schema[c].dataType.simpleString() for c in ("pref_id", "listing_id")])
+            sent = spark.read.schema(schema).option("basePath", sent_path).parquet(*held).where(F.col("batch") != number)
+            pairs = pairs.join(sent, ["day", "pref_id", "listing_id"], "left_anti")
+        numbered = pairs.select("pref_id", "listing_id", "day", F.lit(number).cast("bigint").alias("batch"))
+        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(sent_path)
 
     return listings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 

@@ -198,6 +198,16 @@ TITLE_ACTION = r"\s+(?:DOWNLOAD|APPLY ONLINE|APPLY NOW|VIEW MORE)\s*$"
 DOWNLOAD_ADVERTISEMENT = r"download(?: revised| old)? advertisement"
 SIBLING_DOMAINS = r"(^|\.)sbi\.(?:co\.in|bank\.in)$"
 OPEN_ONLY_DOMAINS = SIBLING_DOMAINS
+# Sources whose notices are completed from their documents; the first also from their detail pages.
+DETAIL_DOMAINS = r"^drdo\.gov\.in$"
+API_DOMAIN, API_ORGANISATION = "ssc.gov.in", "Staff Selection Commission"
+PAGE_WARNINGS = {
+    "no notice": "Page was accessible, but no link had enough recruitment evidence to create a notice.",
+    "no link": (
+        "SSC returned a client-rendered page shell without notice links. Zero is not evidence that SSC has no notices; "
+        "an official data endpoint is required before enabling this source."
+    ),
+}
 ROBOTS_AGENT = "noticebot"
 TITLE_DATE = r"\b(\d{1,2}[/.\-]\d{1,2}[/.\-]20\d{2})\b"
 

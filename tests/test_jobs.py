@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import tempfile
 from datetime import datetime, timedelta
@@ -214,15 +215,25 @@ def test_streaming_counters_and_quota(spark):
 
 def test_streamed_alerts_send_each_pair_once(spark, listings):
     folder = tempfile.mkdtemp(prefix="gazette-test-")
-    rows = listings({"id": 1, "title": "clerk"}, {"id": 2, "title": "tutor"})
-    rows.write.parquet(f"{folder}/l")
-    rows.where("id = 1").write.mode("append").parquet(f"{folder}/l")
+    rows = listings({"id": 1, "title": "clerk", "created_at": datetime(2044, 1, 5)}, {"id": 2, "title": "tutor", "created_at": datetime(2044, 1, 5)}, {"id": 3, "title": "clerk"})
+    rows.coalesce(1).write.parquet(f"{folder}/l")
+    rows.where("id = 1").coalesce(1).write.mode("append").parquet(f"{folder}/l")
     prefs = spark.createDataFrame([(5, ["clerk"], [], [], None, True, datetime(2026, 1, 1)), (6, ["tutor"], [], [], None, True, None)],
                                   "id bigint, keywords array<string>, categories array<string>, locations array<string>, qualification string, active boolean, verified_at timestamp_ntz")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/l")
-    q = jobs.stream_alerts(stream, lambda: prefs, f"{folder}/sent", f"{folder}/check").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(f"{folder}/sent").select("pref_id", "listing_id").collect()] == [(5, 1)]
+    # A day no listing of the stream is of holds what no reader could read.
+    os.makedirs(f"{folder}/sent/day=2043-01-01/batch=7")
+    with open(f"{folder}/sent/day=2043-01-01/batch=7/part-0.parquet", "w") as f:
+        f.write("not parquet")
+
+    def run(check):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/l")
+        jobs.stream_alerts(stream, lambda: prefs, f"{folder}/sent", f"{folder}/{check}").trigger(availableNow=True).start().awaitTermination()
+        days = [f"{folder}/sent/day={d}" for d in ("2044-01-05", "1970-01-01")]
+        return sorted(tuple(r) for r in spark.read.option("basePath", f"{folder}/sent").parquet(*days).select("pref_id", "listing_id").collect())
+
+    assert run("check") == [(5, 1), (5, 3)]
+    # The whole stream again, under the batch numbers it had.
+    assert run("again") == [(5, 1), (5, 3)]
 
 
 def test_every_oracle_has_its_query():
