@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from cases import sqlkit as k
 from cases.board_cases import preferences
@@ -12,8 +12,8 @@ from cases.plan_cases import _decisions
 from cases.registry import Tables, query
 from cases.views import NOW
 from gazette import vocabulary as V
-from gazette.operators import merge, normalize, quota
-from gazette.plans import proposals
+from gazette.operators import extract, merge, normalize, quota
+from gazette.plans import collect, proposals
 from gazette.sources import files
 from gazette.scale import number_rows, shared_folder, written
 from gazette.streaming import jobs
@@ -221,3 +221,55 @@ def _(t: Tables):
 @query("run_counters", "SELECT CAST(created_at AS DATE) AS day, source_id, action, count(*) AS n FROM run_items GROUP BY ALL", ("run_items",))
 def _(t: Tables):
     return jobs.stream_run_counters(t.run_items).withColumn("day", F.col("day").cast("date"))
+
+
+# --- order and figures of a collection, over the candidate table ----------------------------------
+@query("united_records", "SELECT cand_id, pos + CASE WHEN cand_id % 2 = 0 THEN 0 ELSE 2147483648 END AS pos, title FROM candidates", _C)
+def _(t: Tables):
+    rows = t.candidates.select("cand_id", "pos", "title")
+    return merge.ordered_union(rows.where("cand_id % 2 = 0"), rows.where("cand_id % 2 <> 0"))
+
+
+# Every third record stands behind a second link; notices of some titles are dropped as outcomes.
+@query(
+    "source_metrics",
+    f"""WITH c AS MATERIALIZED (SELECT *, {_IDENT} AS identity, {_SCORE} AS score FROM candidates), n AS MATERIALIZED (SELECT source_id, identity, arg_min(title, (-score, length(title), pos)) AS title FROM c GROUP BY ALL),
+    alive AS MATERIALIZED (SELECT * FROM n WHERE NOT {k.has('title', V.RESULT_ONLY_TITLE)} AND length(title) % 5 <> 0), raw AS (SELECT source_id, count(*) + count(*) FILTER (cand_id % 3 = 0) AS raw_links FROM c GROUP BY source_id),
+    rec AS (SELECT c.source_id, count(*) AS recruitment_links FROM c JOIN alive a ON a.source_id = c.source_id AND a.identity = c.identity GROUP BY c.source_id), u AS (SELECT source_id, count(*) AS unique_notices FROM alive GROUP BY source_id)
+    SELECT source_id, raw_links, coalesce(recruitment_links, 0) AS recruitment_links, coalesce(unique_notices, 0) AS unique_notices, greatest(0, raw_links - coalesce(recruitment_links, 0)) AS rejected_noise
+    FROM raw LEFT JOIN rec USING (source_id) LEFT JOIN u USING (source_id)""",
+    _C,
+)
+def _(t: Tables):
+    records = t.candidates
+    links = records.select("source_id").unionAll(records.where("cand_id % 3 = 0").select("source_id"))
+    return merge.collection_metrics(links, records, extract.drop_result_only(merge.merge_notices(records)).where("length(title) % 5 <> 0"))
+
+
+# One source per page by its adapter, and one notice interface with a payload per document.
+_SITE = "'https://s' || CAST(page_id AS {0}) || '.example.org/list'"
+
+
+@query(
+    "collect",
+    """SELECT page_id AS source_id, 'document' AS adapter, 'Engagement of keepers at site ' || page_id AS title, 'PDF' AS extraction_method, true AS is_first FROM pages WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id, CASE page_id % 3 WHEN 1 THEN 'government_html' ELSE 'generic_html' END, 'Engagement of clerks for page ' || page_id, 'HTML', true FROM pages WHERE page_id % 3 <> 0
+    UNION ALL SELECT -1, 'notice_api', 'Recruitment of clerks ' || doc_id, 'HTML', doc_id = (SELECT min(doc_id) FROM documents) FROM documents""",
+)
+def _(t: Tables):
+    raw = t.raw("pages").withColumns({"at": F.expr(_SITE.format("STRING")), "kind": F.col("page_id") % 3})
+    parser = F.when(F.col("kind") == 0, "PDF_NOTIFICATION").when(F.col("kind") == 1, "GOVERNMENT_HTML").otherwise("GENERIC_HTML")
+    sources = raw.select(
+        F.col("page_id").alias("id"), F.concat(F.lit("Engagement of keepers at site "), F.col("page_id").cast("string")).alias("name"), F.lit("example.org").alias("domain"),
+        "at", parser.alias("parser_type"), F.lit(True).alias("enabled"),
+    ).withColumnRenamed("at", "start_url")
+    board = t.spark.range(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit("Board").alias("name"), F.lit(V.API_DOMAIN).alias("domain"), F.lit(f"https://{V.API_DOMAIN}/home").alias("start_url"), F.lit("GOVERNMENT_HTML").alias("parser_type"), F.lit(True).alias("enabled"))
+    html = F.coalesce("html", F.lit(""))
+    row = F.concat(F.lit("<td>Advt No P-"), F.col("page_id").cast("string"), F.lit("/x</td><td><a href='/n'>Engagement of clerks for page "), F.col("page_id").cast("string"), F.lit("</a></td><td>apply</td>"))
+    pages = raw.where("kind <> 0").select("page_id", F.col("at").alias("url"), F.concat(row, html).alias("html"))
+    papers = raw.where("kind = 0").select(F.col("at").alias("url"), html.alias("text"))
+    record = F.to_json(F.array(F.struct(F.concat(F.lit("Recruitment of clerks "), F.col("doc_id").cast("string")).alias("subject"), F.concat(F.lit("/apply/"), F.col("doc_id").cast("string")).alias("applyLink"), F.col("text").alias("description"))))
+    payloads = t.raw("documents").select(F.col("doc_id").alias("payload_id"), F.lit(f"https://{V.API_DOMAIN}/api").alias("url"), record.alias("payload"))
+    candidates, _ = collect.collect(sources.unionByName(board), pages, papers, payloads, NOW)
+    first = F.col("pos") == F.min("pos").over(W.partitionBy("source_id"))
+    return candidates.select("source_id", "adapter", "title", "extraction_method", first.alias("is_first"))
