@@ -89,7 +89,7 @@ def pattern_counts(docs: DataFrame) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pattern", "n"])
 
     found = docs.select("text").mapInArrow(run, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
-    return {r.pattern: r.n for r in found.collect()}  # at most 3^8 rows
+    return {r.pattern: r.n for r in found.collect()}  # at most 3^10 rows
 
 
 def posteriors(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], np.ndarray]:
