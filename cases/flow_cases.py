@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Window as W, functions as F
 
 from cases import sqlkit as k
 from cases.board_cases import preferences
-from cases.plan_cases import _decisions
+from cases.linkage_cases import changes_sql, match_ctes
+from cases.plan_cases import KEYED_CTES, QUALITY, _decisions, scored_sql
 from cases.registry import Tables, query
 from cases.views import NOW
 from gazette import vocabulary as V
@@ -125,7 +127,7 @@ _STRONG = f"length(d.title) BETWEEN 12 AND 220 AND NOT regexp_matches(d.title, {
 
 @query(
     "enrich_notice",
-    f"""WITH c AS MATERIALIZED (SELECT * FROM candidates), d AS MATERIALIZED (SELECT id, title, salary, location, notification_link, description AS raw_text, featured AS is_corrigendum FROM listings WHERE category <> 'Private Jobs')
+    f"""WITH c AS MATERIALIZED (SELECT * FROM candidates), d AS MATERIALIZED (SELECT id, title, salary, location, notification_link, description AS raw_text, featured AS is_corrigendum FROM listings)
     SELECT c.cand_id, CASE WHEN d.id IS NOT NULL AND regexp_matches({k.fold('c.title')}, {k.q(V.GENERIC_LISTING_TITLE)}) AND {_STRONG} THEN d.title ELSE c.title END AS title,
       CASE WHEN c.salary <> '' THEN c.salary ELSE coalesce(d.salary, c.salary) END AS salary, CASE WHEN c.location <> '' THEN c.location ELSE coalesce(d.location, c.location) END AS location,
       CASE WHEN d.id IS NOT NULL AND (coalesce(c.notification_link, '') = '' OR ({k.has('d.notification_link', V.PDF_LINK)} AND NOT {k.has('c.notification_link', V.PDF_LINK)})) THEN coalesce(d.notification_link, c.notification_link) ELSE c.notification_link END AS notification_link,
@@ -135,7 +137,7 @@ _STRONG = f"length(d.title) BETWEEN 12 AND 220 AND NOT regexp_matches(d.title, {
 )
 def _(t: Tables):
     notices = t.candidates.withColumn("notice_id", F.col("cand_id"))
-    details = t.listings.where("category <> 'Private Jobs'").select(
+    details = t.listings.select(
         F.col("id").alias("notice_id"), "title", "salary", "location", "notification_link", F.col("description").alias("raw_text"), F.col("featured").alias("is_corrigendum")
     )
     out = merge.enrich_notice(notices, details)
@@ -144,29 +146,61 @@ def _(t: Tables):
 
 # --- drafts ----------------------------------------------------------------------------------
 def _drafts(t: Tables):
+    # Every review item is asked for once: stale for every fifth row, with a corrected deadline for every second.
     prepared = proposals.prepare_candidates(t.candidates)
+    asked = F.when(F.col("pos") % 5 == 0, F.lit("0" * 64)).otherwise(F.col("snapshot_hash"))
+    first = prepared.groupBy("source_id", "candidate_key", asked.alias("snapshot_hash")).agg(F.min("pos").alias("pos"))
     fixed = F.when(F.col("pos") % 2 == 0, F.create_map(F.lit("last_date"), F.lit("2027-01-01")))
-    requests = prepared.select(
-        "source_id", "candidate_key",
-        F.when(F.col("pos") % 5 == 0, F.lit("0" * 64)).otherwise(F.col("snapshot_hash")).alias("snapshot_hash"),
-        F.coalesce(fixed, F.create_map().cast("map<string,string>")).alias("corrections"),
-    ).dropDuplicates(["source_id", "candidate_key", "snapshot_hash"])
+    requests = first.select("source_id", "candidate_key", "snapshot_hash", F.coalesce(fixed, F.create_map().cast("map<string,string>")).alias("corrections"))
     return proposals.create_drafts(requests, prepared, t.spread("listings"), t.sources, _decisions(prepared), NOW)
 
 
-@query("create_drafts")
+_AGAIN = ", ".join(f"{e} AS {c}" for c, e in k.CLEANED.items())
+_SECOND_MATCH = re.sub(r"\b(lk|ck|ct|lt|amended|hits|matches)\b", r"\g<1>2", match_ctes("again", "listings"))
+_DRAFT_CTES = f"""{KEYED_CTES},
+  req AS MATERIALIZED (SELECT source_id, candidate_key, CASE WHEN pos % 5 = 0 THEN repeat('0', 64) ELSE snapshot_hash END AS asked, min(pos) % 2 = 0 AS fix FROM keyed GROUP BY 1, 2, 3),
+  cur AS MATERIALIZED (SELECT r.source_id, r.candidate_key, r.asked, r.fix, arg_min(struct_pack(cand_id := y.cand_id, snapshot_hash := y.snapshot_hash), (y.snapshot_hash <> r.asked, y.pos)) AS item
+    FROM req r JOIN keyed y ON y.source_id = r.source_id AND y.candidate_key = r.candidate_key GROUP BY 1, 2, 3, 4),
+  live AS MATERIALIZED (SELECT c.*, cur.candidate_key, cur.asked AS snapshot_hash, cur.fix FROM cur JOIN cleaned c ON c.cand_id = cur.item.cand_id WHERE cur.item.snapshot_hash = cur.asked),
+  patched AS MATERIALIZED (SELECT * REPLACE (CASE WHEN fix THEN '2027-01-01' ELSE last_date END AS last_date) FROM live),
+  again AS MATERIALIZED (SELECT * REPLACE ({_AGAIN}) FROM patched),
+  {match_ctes('live', 'listings')}, {_SECOND_MATCH},
+  judged AS MATERIALIZED (SELECT s.*, {QUALITY} AS q, coalesce(m.listing_id, m2.listing_id) AS listing_id, d.decision FROM ({scored_sql('again')}) s LEFT JOIN matches m ON m.cand_id = s.cand_id LEFT JOIN matches2 m2 ON m2.cand_id = s.cand_id
+    LEFT JOIN decisions d ON d.source_id = s.source_id AND d.candidate_key = s.candidate_key AND d.snapshot_hash = s.snapshot_hash),
+  compared AS MATERIALIZED (SELECT j.*, CASE WHEN j.listing_id IS NOT NULL THEN {changes_sql('j', 'l')} END AS changes FROM judged j LEFT JOIN listings l ON l.id = j.listing_id),
+  drafts AS MATERIALIZED (SELECT cand_id, pos, source_id, candidate_key, snapshot_hash, listing_id, title, last_date,
+      CASE WHEN fix AND {k.day('application_start_date')} > '2027-01-01' THEN 'INVALID_CORRECTION' WHEN decision = 'REJECTED' OR (decision = 'NEEDS_CORRECTION' AND NOT fix) THEN 'REVIEW_REQUIRED'
+        WHEN (is_corrigendum AND listing_id IS NULL) OR q <> 'pass' OR source_id <= 0 THEN 'NOT_ELIGIBLE' WHEN listing_id IS NOT NULL AND changes <> '' THEN 'WOULD_UPDATE' WHEN listing_id IS NOT NULL THEN 'DUPLICATE' ELSE 'DRAFT_CREATED' END AS outcome FROM compared),
+  made AS MATERIALIZED (SELECT *, (SELECT max(id) FROM listings) + row_number() OVER (ORDER BY pos) AS id FROM drafts WHERE outcome = 'DRAFT_CREATED')"""
+
+
+@query(
+    "create_drafts",
+    f"""WITH {_DRAFT_CTES} SELECT cand_id, source_id, candidate_key, snapshot_hash, listing_id, outcome FROM drafts
+    UNION ALL SELECT item.cand_id, source_id, candidate_key, item.snapshot_hash, NULL, 'STALE' FROM cur WHERE item.snapshot_hash <> asked""",
+    ("candidates", "listings", "sources"),
+)
 def _(t: Tables):
     return _drafts(t).select("cand_id", "source_id", "candidate_key", "snapshot_hash", "listing_id", "outcome")
 
 
-@query("draft_rows")
+@query(
+    "draft_rows",
+    f"WITH {_DRAFT_CTES} SELECT id, cand_id, trim(title) AS title, 'DRAFT' AS status, 'MANUAL_VERIFIED' AS review_status, CAST(NULL AS TIMESTAMP) AS published_at, source_id, {k.deadline('last_date')} AS last_date FROM made",
+    ("candidates", "listings", "sources"),
+)
 def _(t: Tables):
     outcomes = written(_drafts(t), "drafts")
     rows = proposals.draft_rows(outcomes, t.listings, NOW, 3)
     return rows.select("id", "cand_id", "title", "status", "review_status", "published_at", "source_id", "last_date")
 
 
-@query("draft_items")
+@query(
+    "draft_items",
+    f"""WITH {_DRAFT_CTES} SELECT 'r3' AS run_id, d.source_id, s.name AS source_name, d.title AS candidate_title, CASE d.outcome WHEN 'DRAFT_CREATED' THEN 'ADDED' WHEN 'WOULD_UPDATE' THEN 'SKIPPED' ELSE 'DUPLICATE' END AS action,
+      coalesce(made.id, d.listing_id) AS job_id, d.outcome AS kind FROM drafts d JOIN sources s ON s.id = d.source_id LEFT JOIN made ON made.cand_id = d.cand_id WHERE d.outcome IN ('DRAFT_CREATED', 'WOULD_UPDATE', 'DUPLICATE')""",
+    ("candidates", "listings", "sources"),
+)
 def _(t: Tables):
     outcomes = written(_drafts(t), "drafts")
     return proposals.draft_items(outcomes, proposals.draft_rows(outcomes, t.listings, NOW, 3), "r3")
@@ -185,9 +219,12 @@ _CELLS = " || ',' || ".join(
 )
 
 
-@query("csv_lines", f"SELECT 1 AS part, id, {_CELLS} AS line FROM listings", ("listings",))
+_HEADER = ",".join(f'"{title}"' for title, _ in V.CSV_COLUMNS)
+
+
+@query("csv_lines", f"SELECT 1 AS part, id, {_CELLS} AS line FROM listings UNION ALL SELECT 0, NULL, chr(65279) || {k.q(_HEADER)}", ("listings",))
 def _(t: Tables):
-    return files.csv_lines(t.listings).where("part = 1").select("part", "id", "line")
+    return files.csv_lines(t.listings).select("part", "id", "line")
 
 
 # --- incremental ingestion ----------------------------------------------------------------------

@@ -18,14 +18,14 @@ CS = ("candidates", "sources")
 R = ("run_items",)
 
 
-def _scored_sql() -> str:
+def scored_sql(table: str = "cleaned") -> str:
     facts = " + ".join(f"CASE WHEN coalesce({k.clean(c)}, '') <> '' THEN {int(float(w) * 100)} ELSE 0 END" for c, w in V.FACT_SCORES)
     host = f"regexp_replace(lower(regexp_extract(c.source_url, '^https?://([^/?#]+)', 1)), '^www\\.', '')"
     return f"""SELECT *, least(100, 10 + CASE WHEN official THEN 18 ELSE 0 END + {facts} + CASE WHEN source_job_id <> '' THEN 9 ELSE 0 END + CASE WHEN long_text THEN 5 ELSE 0 END
       + CASE WHEN a IS NOT NULL THEN 12 ELSE 0 END + CASE WHEN n IS NOT NULL THEN 12 ELSE 0 END + CASE WHEN coalesce(dl > {_NOW}, false) THEN 16 ELSE 0 END) AS score
     FROM (SELECT c.*, s.trusted, s.auto_publish, s.review_status, s.trusted AND ({host} = s.domain OR ends_with({host}, '.' || s.domain)) AS official,
       {k.deadline('c.last_date')} AS dl, {k.canon('c.apply_link')} AS a, {k.canon('c.notification_link')} AS n, length({k.clean('c.raw_text')}) >= 500 AS long_text
-      FROM cleaned c JOIN sources s ON c.source_id = s.id)"""
+      FROM {table} c JOIN sources s ON c.source_id = s.id)"""
 
 
 _REASONS = f"""array_to_string(list_filter([CASE WHEN official THEN 'trusted official source' WHEN NOT trusted THEN 'untrusted source requires review' END,
@@ -33,7 +33,7 @@ _REASONS = f"""array_to_string(list_filter([CASE WHEN official THEN 'trusted off
   CASE WHEN dl > {_NOW} THEN 'future application deadline found' WHEN dl IS NOT NULL THEN 'deadline has passed' ELSE 'application deadline not reliably found' END,
   CASE WHEN NOT eligible THEN 'saved as draft unless manually verified' END], lambda x: x IS NOT NULL), '; ')"""
 _ELIGIBLE = f"trusted AND auto_publish AND review_status = 'APPROVED' AND score >= 50 AND coalesce(dl > {_NOW}, false) AND (a IS NOT NULL OR n IS NOT NULL)"
-_SCORE_CTES = f"cleaned AS MATERIALIZED ({k.CLEANED_CANDIDATES}), scored0 AS MATERIALIZED ({_scored_sql()}), scored AS MATERIALIZED (SELECT *, {_ELIGIBLE} AS eligible FROM scored0)"
+_SCORE_CTES = f"cleaned AS MATERIALIZED ({k.CLEANED_CANDIDATES}), scored0 AS MATERIALIZED ({scored_sql()}), scored AS MATERIALIZED (SELECT *, {_ELIGIBLE} AS eligible FROM scored0)"
 
 
 def _cleaned(t: Tables):
@@ -93,9 +93,11 @@ def _decisions(prepared):
     )
 
 
-_PLAN_CTES = f"""{_SCORE_CTES},
-  keyed AS MATERIALIZED (SELECT cand_id, source_id, pos {_IDENTITY.split('SELECT cand_id', 1)[1].rsplit('FROM c', 1)[0]} FROM cleaned),
-  decisions AS MATERIALIZED ({_DECISIONS.replace('any_value(pos)', 'min(pos)')}),
+_KEYED = f"""keyed AS MATERIALIZED (SELECT cand_id, source_id, pos {_IDENTITY.split('SELECT cand_id', 1)[1].rsplit('FROM c', 1)[0]} FROM cleaned),
+  decisions AS MATERIALIZED ({_DECISIONS.replace('any_value(pos)', 'min(pos)')})"""
+#: The cleaned candidates with their keys, and the recorded decisions.
+KEYED_CTES = f"cleaned AS MATERIALIZED ({k.CLEANED_CANDIDATES}), {_KEYED}"
+_PLAN_CTES = f"""{_SCORE_CTES}, {_KEYED},
   {match_ctes('cleaned', 'listings')},
   judged AS MATERIALIZED (SELECT s.*, m.listing_id, {KIND_NAME.replace('kind', 'm.kind', 1)} AS matched_by, {_QUALITY} AS q0, ky.candidate_key, ky.snapshot_hash, d.decision, d.reason AS decision_reason
     FROM scored s LEFT JOIN matches m ON s.cand_id = m.cand_id JOIN keyed ky ON ky.cand_id = s.cand_id
@@ -107,6 +109,7 @@ _PLAN_CTES = f"""{_SCORE_CTES},
     CASE WHEN q <> 'pass' THEN {_REASON} WHEN decision = 'REJECTED' THEN 'Previously rejected exact source snapshot: ' || decision_reason WHEN decision IS NOT NULL THEN 'Needs correction before review: ' || decision_reason
       WHEN listing_id IS NULL THEN {_REASONS} WHEN changes = '' THEN 'Matched a persistent Job by ' || matched_by || '; no supported field changed.' ELSE 'Would update persistent Job: ' || changes END AS reason FROM planned)"""
 PLAN_CTES = _PLAN_CTES.replace(_ELIGIBLE, "false")
+QUALITY = _QUALITY
 CLS = ("candidates", "listings", "sources")
 
 

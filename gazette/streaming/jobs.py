@@ -12,7 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gazette.operators import alerts, extract, linkage, merge, snapshot
 from gazette.plans import proposals
+from gazette.plans.collect import collect
+from gazette.plans.write_run import write_run
 from gazette.scale import exists, in_order, job_folder, written
+from gazette.sources.store import Store
 
 
 def ingest_pages(pages: DataFrame, listings: DataFrame, sources: DataFrame, decisions: DataFrame, now: datetime | str, run_id: int) -> DataFrame:
@@ -58,6 +61,29 @@ def stream_ingest(
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
+def stream_runs(
+    pages: DataFrame, path: str, documents: Callable[[], DataFrame], payloads: Callable[[], DataFrame], decisions: Callable[[], DataFrame],
+    clock: Callable[[], datetime | str], checkpoint: str, first_run: int = 2, **settings,
+) -> DataStreamWriter:
+    """Page stream to versions of a store: every micro-batch is one write run over the sources it has pages of.
+
+    A batch writes the parts it touched, the log of the run and one commit file;
+    batch n is run `first_run` + n, so a replay of a batch changes nothing. The
+    texts of documents and the payloads known by then complete its notices.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        with job_folder(spark):
+            store, now = Store(spark, path), clock()
+            candidates, collected = collect(store.read("sources"), written(df, "pages"), documents(), payloads(), now)
+            # A source without a page in this batch was not checked, it did not fail.
+            seen = written(collected.where(F.col("error").isNull()), "collected")
+            write_run(store, candidates.drop("adapter"), seen, decisions(), now, first_run + number, **settings)
+
+    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
 def stream_alerts(listings: DataFrame, preferences: Callable[[], DataFrame], sent_path: str, checkpoint: str) -> DataStreamWriter:
     """New listings to (pref_id, listing_id) deliveries, each pair once.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gazette import vocabulary as V
 from gazette.plans import collect as c, write_run
 from gazette.sources.store import Store
+from gazette.streaming import jobs
 
 NOW = "2044-03-01 12:00:00"
 SOURCES = [
@@ -83,6 +84,30 @@ def test_a_collection_becomes_a_version(spark, sources, listings, inputs):
     assert store.read("runs").where("run_id = 3").first().processed == 0
 
 
+def test_pages_stream_into_versions(spark, sources, listings, inputs):
+    folder = tempfile.mkdtemp(prefix="gazette-test-")
+    store = Store(spark, f"{folder}/store")
+    write_run.open_store(store, listings(*[{"id": i, "title": f"Hall {i}"} for i in range(30)]), sources(*SOURCES), 10, 4)
+    for page in (40, 80):
+        inputs[0].where(F.col("page_id") == page).coalesce(1).write.mode("append").parquet(f"{folder}/pages")
+    none = [t.where("false") for t in inputs]
+    decisions = spark.createDataFrame([], "source_id bigint, candidate_key string, snapshot_hash string, decision string, reason string")
+
+    def run(check):
+        stream = spark.readStream.schema(inputs[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages")
+        job = jobs.stream_runs(stream, store.path, lambda: none[1], lambda: none[2], lambda: decisions, lambda: NOW, f"{folder}/{check}", listing_ids=10, parts=4)
+        job.trigger(availableNow=True).start().awaitTermination()
+        return Store(spark, store.path)
+
+    after = run("check")
+    # Two runs; the first three parts of the listings are those of the first version.
+    assert after.version == 3 and after.run == 3 and after.folders("listings")[:3] == store.folders("listings")
+    log = after.read("run_items").collect()
+    assert sorted((r.run_id, r.source_id) for r in log if r.source_id) == [(2, 4), (2, 4)] and not any(r.action == "ERROR" for r in log)
+    # The stream from its start again is the same runs, which change nothing.
+    assert run("again").version == 3
+
+
 def test_collecting_nothing(spark, sources, inputs):
     none = [t.where("false") for t in inputs]
     candidates, collected = c.collect(sources(*SOURCES), *none, NOW)
