@@ -30,23 +30,31 @@ def _shaped(rows: DataFrame, *kept: str) -> DataFrame:
     return merge.with_candidate_columns(rows).select(*kept, *FACTS)
 
 
+def document_facts(documents: DataFrame) -> DataFrame:
+    """Every document by its canonical address `at`, with the facts of its text: read once, whoever names it."""
+    return written(docs.extract_notice_facts(_by_url(documents, "text")).withColumns({"source_job_id": notice_id("text"), "content_hash": content_hash("text")}), "document-facts")
+
+
 def document_candidates(rows: DataFrame, *kept: str) -> DataFrame:
-    """A candidate per document: rows (url, text, label, start_url) and the `kept` columns."""
+    """A candidate per named document: `document_facts` with the label and start_url it is named by, and the `kept` columns."""
     file = F.regexp_replace(F.try_url_decode(F.element_at(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), F.lit(-1))), r"(?i)\.pdf$", "")
     named = rows.withColumn("label", F.coalesce(blank_to_null(clean("label")), blank_to_null(file), F.lit("Recruitment notification")))
-    titled = docs.extract_notice_facts(docs.pick_title(named))
-    made = docs.corrigendum_flag(titled).withColumns({
-        "raw_text": F.col("text"), "notification_link": F.col("url"), "source_url": F.col("url"), "official_website": origin("start_url"), "source_job_id": notice_id("text"),
-        "content_hash": content_hash("text"), "extraction_method": F.lit("PDF"),
+    made = docs.corrigendum_flag(docs.pick_title(named)).withColumns({
+        "raw_text": F.col("text"), "notification_link": F.col("url"), "source_url": F.col("url"), "official_website": origin("start_url"), "extraction_method": F.lit("PDF"),
     })
     return _shaped(made, *kept)
 
 
-def page_notices(pages: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(notices, records) of pages: the records of a page united in order, then one notice per identity within `keys`."""
-    records = merge.with_candidate_columns(merge.ordered_union(extract.extract_jsonld(pages), extract.anchor_candidates(pages)))
-    ordered = written(in_order(records.withColumnRenamed("pos", "place"), ["page_id", "place"], "pos").drop("place"), "page-records")
-    return extract.drop_result_only(merge.merge_notices(ordered, keys)), ordered
+def page_records(pages: DataFrame) -> DataFrame:
+    """The records of all pages (page_id, url, html), those of a page united in order: every page is read once."""
+    given = pages.select("page_id", F.lit(None).cast("bigint").alias("source_id"), "url", "html")
+    records = merge.with_candidate_columns(merge.ordered_union(extract.extract_jsonld(given), extract.anchor_candidates(given)))
+    return written(in_order(records.drop("source_id").withColumnRenamed("pos", "place"), ["page_id", "place"], "pos").drop("place"), "page-records")
+
+
+def notices_of(records: DataFrame, keys: list[str]) -> DataFrame:
+    """One notice per identity within `keys`, outcomes left out."""
+    return extract.drop_result_only(merge.merge_notices(records, keys))
 
 
 def _by_url(table: DataFrame, *columns: str) -> DataFrame:
@@ -55,10 +63,11 @@ def _by_url(table: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("at").agg(F.min_by(F.struct("url", *columns), F.struct("url", *columns)).alias("f")).select("at", "f.*")
 
 
-def completed(notices: DataFrame, sources: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
+def completed(notices: DataFrame, sources: DataFrame, pages: DataFrame, records: DataFrame, documents: DataFrame) -> DataFrame:
     """Notices of the sources that are completed, with what their detail pages and documents say; others as they are.
 
-    `notices` carry `base_id`. A document named by the notice completes it; a
+    `notices` carry `base_id`; `records` are the `page_records`, `documents` the
+    `document_facts`. A document named by the notice completes it; a
     detail page gives its longer text, its closest notice, and its first document.
     """
     registry = sources.select(F.col("id").alias("source_id"), "domain", "start_url", "adapter")
@@ -80,7 +89,7 @@ def completed(notices: DataFrame, sources: DataFrame, pages: DataFrame, document
     longer = F.length(text) > F.length("raw_text")
     fuller = met.withColumns({"raw_text": F.when(longer, text).otherwise(F.col("raw_text")), "content_hash": F.when(longer, content_hash(text)).otherwise(F.col("content_hash"))})
     own_pages = met.select("page_id", "source_id", F.col("page_url").alias("url"), "html").dropDuplicates(["page_id"])
-    found = page_notices(own_pages, ["source_id", "page_id"])[0].withColumn("detail_id", F.col("pos"))
+    found = notices_of(records.join(own_pages.select("page_id", "source_id"), "page_id"), ["source_id", "page_id"]).withColumn("detail_id", F.col("pos"))
     closest = merge.closest_detail(fuller.select("base_id", "page_id", "source_job_id", "title"), found)
     second = _shaped(closest.join(found, "detail_id"), "base_id").withColumn("pos", F.lit(1))
     pair = _shaped(fuller, "base_id").withColumn("pos", F.lit(0)).unionByName(second)
@@ -92,8 +101,7 @@ def completed(notices: DataFrame, sources: DataFrame, pages: DataFrame, document
 
     direct = base.withColumn("document", F.when(is_pdf("_link"), F.col("_link"))).join(met.select("base_id"), "base_id", "left_anti")
     waiting = written(direct.select(*columns, "start_url", "document").unionByName(paged_out.select(*columns, "start_url", "document")), "waiting")
-    texts = _by_url(documents, "text").select(F.col("at").alias("document"), "url", "text")
-    read = waiting.select("base_id", "start_url", "document", F.col("title").alias("label")).join(texts, "document")
+    read = waiting.select("base_id", "start_url", F.col("document").alias("at"), F.col("title").alias("label")).join(documents, "at")
     completed_rows = merge.enrich_notice(waiting.drop("start_url", "document"), document_candidates(read, "base_id"), "base_id")
     return rest.unionByName(completed_rows.select(*columns))
 
@@ -109,18 +117,17 @@ def collect(
     """
     routed = written(extract.dispatch(sources.where("enabled"), api_domain).withColumn("at", canonical_url("start_url")), "routed")
     of = lambda *adapters: routed.where(F.col("adapter").isin(*adapters))
-    texts = _by_url(documents, "text")
+    texts, every = document_facts(documents), page_records(pages)
 
     # Documents that are sources themselves.
-    own = of("document").join(texts, "at").select(F.col("id").alias("source_id"), F.col("name").alias("label"), "start_url", "url", "text")
+    own = of("document").select("at", F.col("id").alias("source_id"), F.col("name").alias("label"), "start_url").join(texts, "at")
     from_documents = document_candidates(own, "source_id").withColumns({"adapter": F.lit("document"), "place": F.lit(0).cast("bigint")})
 
     # Pages: notices of the page, then documents it links to, the first of an identity.
     start = of("government_html", "generic_html").join(_by_url(pages, "page_id", "html"), "at")
     start = written(start.select("page_id", F.col("id").alias("source_id"), "url", "html", "adapter", "domain", "start_url"), "start-pages")
-    given = start.select("page_id", "source_id", "url", "html")
-    notices, records = page_notices(given, ["source_id"])
-    notices = extract.open_only(notices.join(start.select("source_id", "domain"), "source_id"), "domain", ts(now)).drop("domain")
+    records = every.join(start.select("page_id", "source_id"), "page_id")
+    notices = extract.open_only(notices_of(records, ["source_id"]).join(start.select("source_id", "domain"), "source_id"), "domain", ts(now)).drop("domain")
     notices = written(notices, "page-notices")
     linked = extract.extract_document_links(start.where("adapter = 'government_html'").select("page_id", "url", "html"))
     linked = linked.join(start.select("page_id", "source_id", "start_url"), "page_id").select("source_id", "start_url", F.col("href").alias("at"), "label", "pos")
@@ -129,7 +136,7 @@ def collect(
     # Documents come after the notices of the page.
     late = F.when(F.col("extraction_method") == "PDF", F.lit(1 << 62)).otherwise(F.lit(0)) + F.col("pos")
     ordered = written(united.withColumn("place", late).withColumn("base_id", F.xxhash64("source_id", "identity")), "united")
-    whole = completed(_shaped(ordered, "base_id", "source_id", "place"), routed, pages, documents)
+    whole = completed(_shaped(ordered, "base_id", "source_id", "place"), routed, pages, every, texts)
     from_pages = whole.join(start.select("source_id", "adapter"), "source_id").select("source_id", *FACTS, "adapter", "place")
 
     # Payloads of the notice interface.

@@ -76,6 +76,8 @@ def stream_runs(
         spark = df.sparkSession
         with job_folder(spark):
             store, now = Store(spark, path), clock()
+            if first_run + number <= store.run:
+                return
             candidates, collected = collect(store.read("sources"), written(df, "pages"), documents(), payloads(), now)
             # A source without a page in this batch was not checked, it did not fail.
             seen = written(collected.where(F.col("error").isNull()), "collected")
