@@ -279,3 +279,14 @@ def test_empty_pages_and_missing_text(spark):
     assert extract.extract_jsonld(table).count() == 0 and extract.anchor_candidates(table).count() == 0
     assert extract.extract_jsonld(table.limit(0)).count() == 0
     assert documents.extract_notice_facts(table.select(F.lit(None).cast("string").alias("text"))).where("vacancy is not null").count() == 0
+
+
+def test_sources_are_discovered_in_all_page_families(spark, tmp_path):
+    import __spark_entry__
+
+    pages = [(50 * i, f"https://example.{d}/a", f"<article><a href='/careers/{i}'>Careers and jobs</a></article>") for i, d in enumerate(("com", "net", "org"))]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(0, "Board", 1, 1.0)], "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, "X", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    found = {r.start_url for r in __spark_entry__.queries()["discover_sources"](spark, str(tmp_path)).collect()}
+    assert {f"https://example.{d}/careers/{i}" for i, d in enumerate(("com", "net", "org"))} <= found
