@@ -94,3 +94,20 @@ def test_fold_matches_decomposition(spark, values):
 
 def test_fold_cases(spark):
     assert each(spark, text.fold, ["  Senior–Engineer (IT) ", "résumé", "ﬁn ½ Ａb", None]) == ["senior engineer it", "re sume", "fin 1 2 ab", ""]
+
+
+def test_a_bound_value_takes_its_type_once(spark):
+    # `getItem` derives the type of the whole body for every row, which nested bodies multiply.
+    nested = text.let(F.col("v"), lambda a: text.let(F.concat(a, a), lambda b: F.concat(b, b)))
+    df = spark.createDataFrame([("x",), (None,)], "v string").select(nested.alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("element_at(transform(") == 2 and "[0]" not in plan
+    assert [r["x"] for r in df.collect()] == ["xxxx", None]
+
+
+def test_spaces_and_nulls_of_a_text(spark):
+    odd = "\t\n\x0b\x0c\r\u00a0\u1680\u2003\u2028\u202f\u205f\u3000\ufeff"
+    cases = {"a\x00b": "ab", "\x00": "", " a  b ": "a b", "a b": "a b", f"a{odd}b": "a b", f"a {odd} b": "a b", "é\u00a0\u00a0ü": "é ü", "a\u200bb": "a\u200bb", "\u3000": ""}
+    cases |= {f"a{c}b": "a b" for c in odd}
+    assert each(spark, text.clean, [*cases, None]) == [*cases.values(), ""]
+    assert each(spark, text.fold, ["A\x00b", "a\x00 \x00b", "\x00"]) == ["ab", "a b", ""]
