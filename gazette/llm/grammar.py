@@ -39,24 +39,42 @@ LEAST_USES = 16
 _BITS = 20
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, ok: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every place the rank of its pair among the `most` frequent ones (-1: not among them), and those pairs."""
-    key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-    slot = ((key ^ key >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
-    slot[~ok] = 1 << _BITS
-    rough = np.bincount(slot, minlength=(1 << _BITS) + 1)
+def _frequent(symbols: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places (but `ends`) of the `most` frequent neighbour pairs, the rank of the pair at each, and the pairs."""
+    wide = symbols.view(np.uint64)
+    key = wide[:-1] << np.uint64(32)
+    key |= wide[1:]
+    slot = key >> np.uint64(29)
+    slot ^= key
+    slot *= np.uint64(0x9E3779B97F4A7C15)
+    slot >>= np.uint64(64 - _BITS)
+    slot = slot.view(np.int64)
+    slot[ends] = 1 << _BITS
+    rough = np.bincount(slot, minlength=(1 << _BITS) + 1).astype(np.int32)
     rough[1 << _BITS] = 0
-    # Pairs hashed to rare slots are rare; only the others are counted one by one.
-    at = np.flatnonzero(rough[slot] >= LEAST_USES)
-    codes, distinct = pd.factorize(key[at])
-    uses = np.bincount(codes, minlength=len(distinct))
+
+    def counted(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(slots[slot])
+        codes, distinct = pd.factorize(key[at])
+        return at, codes, distinct, np.bincount(codes, minlength=len(distinct))
+
+    # A pair has no more uses than its slot, and `most` pairs of the fullest slots have `least`: the others
+    # of its rank or a better one are in slots of as many.
+    least, slots = LEAST_USES, np.flatnonzero(rough >= LEAST_USES)
+    if len(slots) > 2 * most:
+        full = np.zeros(len(rough), bool)
+        full[slots[np.argpartition(rough[slots], -2 * most)[-2 * most :]]] = True
+        uses = counted(full)[3]
+        if len(uses) >= most:
+            least = max(LEAST_USES, int(np.partition(uses, -most)[-most]))
+    at, codes, distinct, uses = counted(rough >= least)
     best = np.lexsort((distinct, -uses))[:most]
     best = best[uses[best] >= LEAST_USES]
     rank = np.full(len(distinct), -1, np.int64)
     rank[best] = np.arange(len(best))
-    out = np.full(len(key), -1, np.int64)
-    out[at] = rank[codes]
-    return out, distinct[best]
+    ranks = rank[codes]
+    hit = ranks >= 0
+    return at[hit], ranks[hit], distinct[best]
 
 
 def symbol_bytes(terminals: int) -> int:
@@ -69,21 +87,19 @@ def compress(ids: np.ndarray, first: np.ndarray, terminals: int) -> tuple[np.nda
     symbols, starts, rules = ids.astype(np.int64), first.astype(np.int64), []
     known, space = 0, 1 << 8 * symbol_bytes(terminals)
     while len(symbols) > 1 and (room := min(PAIRS_A_ROUND, space - terminals - known)) > 0:
-        ok = np.ones(len(symbols) - 1, bool)
         ends = starts[1:] - 1
-        ok[ends[(ends >= 0) & (ends < len(ok))]] = False
-        rank, pairs = _frequent(symbols[:-1], symbols[1:], ok, room)
-        at = np.flatnonzero(rank >= 0)
+        at, rank, pairs = _frequent(symbols, ends[(ends >= 0) & (ends < len(symbols) - 1)], room)
         if not len(at):
             break
         # Of overlapping places every second one is taken, from the left.
         lead = np.concatenate([[True], np.diff(at) != 1])
         run = np.maximum.accumulate(np.where(lead, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        symbols[at] = terminals + known + rank[at]
+        taken = (np.arange(len(at)) - run) % 2 == 0
+        at = at[taken]
+        symbols[at] = terminals + known + rank[taken]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+        starts = starts - np.searchsorted(at + 1, starts)
         symbols = symbols[keep]
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64))
         known += len(pairs)

@@ -232,3 +232,21 @@ def test_the_automaton_agrees_with_regular_expressions():
     fits = url_rules.Automaton(globs).run(*words.buffer_of(pa.array([t.encode("utf-8", "surrogateescape") for t in texts], pa.binary())))
     for i, text in enumerate(texts):
         assert fits[i].tolist() == [bool(pattern(g).fullmatch(text)) for g in globs], text
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_frequent_pairs_are_those_of_a_full_count(seed):
+    from collections import Counter
+
+    rng = np.random.default_rng(seed)
+    symbols = (rng.zipf(1.3, 60_000) % 3000).astype(np.int64)
+    ends = np.sort(rng.choice(len(symbols) - 1, 300, replace=False))
+    pairs = list(zip(symbols[:-1].tolist(), symbols[1:].tolist()))
+    skipped = set(ends.tolist())
+    uses = Counter(p for i, p in enumerate(pairs) if i not in skipped)
+    for most in (1, 7, 40, 100_000):
+        want = sorted((p for p in uses if uses[p] >= grammar.LEAST_USES), key=lambda p: (-uses[p], p))[:most]
+        at, rank, found = grammar._frequent(symbols, ends, most)
+        assert [(int(f) >> 32, int(f) & 0xFFFFFFFF) for f in found] == want
+        place = {p: i for i, p in enumerate(want)}
+        assert list(zip(at.tolist(), rank.tolist())) == [(i, place[p]) for i, p in enumerate(pairs) if i not in skipped and p in place]
