@@ -111,3 +111,20 @@ def test_spaces_and_nulls_of_a_text(spark):
     cases |= {f"a{c}b": "a b" for c in odd}
     assert each(spark, text.clean, [*cases, None]) == [*cases.values(), ""]
     assert each(spark, text.fold, ["A\x00b", "a\x00 \x00b", "\x00"]) == ["ab", "a b", ""]
+
+
+def test_even_texts_and_plain_links_take_no_other_way(spark):
+    """Texts and links that need no work give what the full rules give, and their odd neighbours still get the rules."""
+    texts = ["plain words", " a  b\tc\x00d ", "café  x", "is Graduate", "Island", "12. Clerk", "120", ": x", "a\\.b", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    found = rows.select("id", text.clean("t"), text.clean(F.col("t")), text.fold("t"), text.repair("t", 50)).orderBy("id").collect()
+    assert [r[1] for r in found] == ["plain words", "a b cd", "café x", "is Graduate", "Island", "12. Clerk", "120", ": x", "a\\.b", "", ""]
+    assert all(r[1] == r[2] for r in found)
+    assert [r[3] for r in found] == ["plain words", "a b cd", "cafe x", "is graduate", "island", "12 clerk", "120", "x", "a b", "", ""]
+    assert [r[4] for r in found] == ["plain words", "a b cd", "café x", "Graduate", "Island", "Clerk", "120", "x", "a.b", None, None]
+    links = {
+        "https://www.a.org/x/?b=2&a=1&utm_x=3#top": "https://a.org/x?a=1&b=2", "http://a.org": "http://a.org/", "http://a.org//x//": "http://a.org//x",
+        "http://www.": None, "http://a.org/x/../y": "http://a.org/y", "HTTP://A.org:80/X": "http://a.org/X", "http://a.org/a.b?": "http://a.org/a.b", "http://a.org\x85": "http://a.org\x85/", "#x": None,
+    }
+    urls_ = spark.createDataFrame([(u,) for u in links], "u string")
+    assert {r.u: r.c for r in urls_.select("u", urls.canonical_url("u").alias("c")).collect()} == links
