@@ -128,3 +128,15 @@ def test_even_texts_and_plain_links_take_no_other_way(spark):
     }
     urls_ = spark.createDataFrame([(u,) for u in links], "u string")
     assert {r.u: r.c for r in urls_.select("u", urls.canonical_url("u").alias("c")).collect()} == links
+
+
+def test_keys_of_one_kind_are_those_of_all_kinds(spark):
+    from gazette.operators import linkage
+
+    rows = spark.createDataFrame(
+        [(1, 3, "ord-1", "http://www.a.org/x/", None, "Clerk", "D", "P", "2026-01-02"), (2, None, None, None, "http://a.org/n", "Driver", None, None, None)],
+        "cand_id bigint, source_id bigint, source_job_id string, apply_link string, notification_link string, title string, department string, location string, last_date string",
+    )
+    every = {tuple(r) for r in linkage.candidate_keys(rows).select("kind", "key", "cand_id").collect()}
+    single = [{tuple(r) for r in linkage.candidate_keys(rows, k).select("kind", "key", "cand_id").collect()} for k in (1, 3, 4, 5, 6)]
+    assert all(single) and set.union(*single) == every and sum(map(len, single)) == len(every)
