@@ -236,6 +236,40 @@ def test_streamed_alerts_send_each_pair_once(spark, listings):
     assert run("again") == [(5, 1), (5, 3)]
 
 
+def test_long_terms_have_few_candidates(spark, monkeypatch):
+    from gazette.operators import alerts
+
+    kept = {}
+    monkeypatch.setattr(alerts, "written", lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    names = [f"customer#{i:09d}" for i in range(400)]
+    texts = spark.createDataFrame([(i, f"clerks for {n} wanted") for i, n in enumerate(names)] + [(-1, "x" * 50 + "yz" + "x" * 50)], "text_id bigint, text string")
+    terms = [*names, "k", "fo", "cle", "clerk", "xyz", "x" * 30 + "yz" + "x" * 30, "customer#00000000", "nothing", "customer#0000000000", ""]
+    found = {(r["term"], r["text_id"]) for r in alerts.occurrences(spark.createDataFrame([(t,) for t in terms], "term string"), texts).collect()}
+    assert found == {(t, r["text_id"]) for r in texts.collect() for t in terms if t and t in r["text"]}
+    # The grams of three characters took some hundred rows per text.
+    assert kept["gram-places"].where("text_id = 123").count() <= 12
+
+
+def test_alerts_join_no_rule_with_what_it_does_not_fit(spark, listings, monkeypatch):
+    from gazette.operators import alerts
+
+    kept = {}
+    monkeypatch.setattr(alerts, "written", lambda df, name: kept.setdefault(f"{name}-{len(kept)}", df.localCheckpoint()))
+    board = listings(*[{"id": i, "title": "Clerks wanted", "department": "", "qualification": "", "location": f"town{i % 10}x"} for i in range(60)])
+    schema = "id bigint, keywords array<string>, categories array<string>, locations array<string>, qualification string, active boolean"
+    rows = [(i, ["clerks", f"name{i}", "wanted"], None, [f"town{i % 10}"], None, True) for i in range(40)] + [(90, ["Clerks"], None, None, "", True), (91, ["clerks"], None, None, "low", True), (None, [], [], ["town3"], None, True), (92, [""], None, None, None, False)]
+    prefs = spark.createDataFrame(rows + [rows[0]], schema)
+    matches = alerts.match_alerts(board, prefs)
+    want = [(r[0], i) for r in rows + [rows[0]] if r[5] and r[4] != "low" for i in range(60) if not r[3] or r[3][0] == f"town{i % 10}"]
+    assert sorted(map(tuple, matches.collect()), key=lambda r: (r[0] or -1, r[1])) == sorted(want, key=lambda r: (r[0] or -1, r[1]))
+    wanted = next(df for name, df in kept.items() if name.startswith("alert-wanted"))
+    assert wanted.count() == 40 * 2 + 10
+    # A repeated preference has its matches and totals as often as it is listed; one without a match has an empty row.
+    digest = alerts.alert_digest(matches, prefs).collect()
+    assert sum(r["pref_id"] == 0 and r["matches"] == 12 for r in digest) == 24
+    assert [tuple(r) for r in digest if r["pref_id"] in (None, 91, 92)] and all(r["matches"] == 0 and r["listing_id"] is None for r in digest if r["pref_id"] in (None, 91, 92))
+
+
 def test_every_oracle_has_its_query():
     import __spark_entry__ as entry
 
