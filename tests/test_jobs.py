@@ -270,6 +270,25 @@ def test_alerts_join_no_rule_with_what_it_does_not_fit(spark, listings, monkeypa
     assert [tuple(r) for r in digest if r["pref_id"] in (None, 91, 92)] and all(r["matches"] == 0 and r["listing_id"] is None for r in digest if r["pref_id"] in (None, 91, 92))
 
 
+def test_backups_are_not_sorted_again(spark):
+    from pyspark.sql.types import StringType
+
+    folder = tempfile.mkdtemp(prefix="gazette-test-")
+    spark.range(5000).select("id", F.concat(F.lit("t"), F.col("id").cast(StringType())).alias("title")).repartitionByRange(7, "id").sortWithinPartitions("id").write.json(f"{folder}/json")
+    rows = files.read_backup(spark, f"{folder}/json")
+    assert "Exchange rangepartitioning" not in rows._jdf.queryExecution().toString()
+    assert sorted((r["seq"], r["id"]) for r in rows.collect()) == [(i, i) for i in range(5000)]
+
+
+def test_compressed_backups_read_alike(spark, listings):
+    folder = tempfile.mkdtemp(prefix="gazette-test-")
+    rows = listings(*[{"id": i, "title": f"t{i}", "last_date": datetime(2026, 2, 1)} for i in range(300)])
+    files.export_json(rows, f"{folder}/plain")
+    files.export_json(rows, f"{folder}/small", "gzip")
+    plain, small = (sorted(map(str, files.read_backup(spark, f"{folder}/{d}").collect())) for d in ("plain", "small"))
+    assert plain == small and len(plain) == 300
+
+
 def test_every_oracle_has_its_query():
     import __spark_entry__ as entry
 
