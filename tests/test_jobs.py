@@ -264,6 +264,8 @@ def test_alerts_join_no_rule_with_what_it_does_not_fit(spark, listings, monkeypa
     assert sorted(map(tuple, matches.collect()), key=lambda r: (r[0] or -1, r[1])) == sorted(want, key=lambda r: (r[0] or -1, r[1]))
     wanted = next(df for name, df in kept.items() if name.startswith("alert-wanted"))
     assert wanted.count() == 40 * 2 + 10
+    twice = alerts.match_alerts(board.unionAll(board.where("id = 3").withColumn("title", F.lit("k"))), prefs.where("id = 90").withColumn("keywords", F.array(F.lit("k"))))
+    assert sorted(r["listing_id"] for r in twice.collect()) == sorted([*range(60), 3])
     # A repeated preference has its matches and totals as often as it is listed; one without a match has an empty row.
     digest = alerts.alert_digest(matches, prefs).collect()
     assert sum(r["pref_id"] == 0 and r["matches"] == 12 for r in digest) == 24
