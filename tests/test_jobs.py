@@ -291,6 +291,17 @@ def test_compressed_backups_read_alike(spark, listings):
     assert plain == small and len(plain) == 300
 
 
+def test_wide_views_grow_by_tasks(spark, monkeypatch):
+    from cases import views
+
+    folder = tempfile.mkdtemp(prefix="gazette-test-")
+    spark.range(1).select(F.lit(1).cast("bigint").alias("page_id"), F.lit("u").alias("url"), F.lit("h").alias("html")).write.parquet(f"{folder}/one/pages.parquet")
+    spark.range(900).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("h").alias("html")).write.parquet(f"{folder}/many/pages.parquet")
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 100)
+    tasks = lambda d: views.view(spark, f"{folder}/{d}", "pages_in").rdd.getNumPartitions()
+    assert (tasks("one"), tasks("many")) == (4, 9)
+
+
 def test_every_oracle_has_its_query():
     import __spark_entry__ as entry
 
